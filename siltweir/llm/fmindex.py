@@ -1,6 +1,6 @@
 """A compressed full-text index (FM-index, Ferragina and Manzini 2000) over a shard of short texts, in numpy.
 
-The shard's Burrows-Wheeler transform is kept as bit planes with sampled counts; backward search runs for many
+The shard's Burrows-Wheeler transform is kept as bits with sampled counts; backward search runs for many
 patterns at once. Texts end with code 0, which no pattern contains, so no match spans two texts."""
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import io
 import numpy as np
 
 U1 = np.uint64(1)
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -19,21 +18,21 @@ def code_points(texts: list[str]) -> np.ndarray:
 
 
 class Alphabet:
-    """Dense codes for the code points of a shard: 0 is the end of a text; rare ones beyond 62 share the last code,
-    which makes matches looser, never fewer."""
+    """Dense codes for the code points of a shard: 0 is the end of a text; rare ones beyond 61 share the last code,
+    which makes matches looser, never fewer; 62 stands for what the shard lacks and never occurs."""
 
     def __init__(self, points: np.ndarray, counts: np.ndarray | None = None) -> None:
         if counts is None:
             points, counts = np.unique(points, return_counts=True)
         keep = points != 0
         order = np.argsort(-counts[keep], kind="stable")
-        top = np.sort(points[keep][order[:62]])
+        top = np.sort(points[keep][order[:61]])
         self.points, self.size = top, 64
         self.all = np.sort(points[keep])
 
     def codes(self, points: np.ndarray) -> np.ndarray:
-        """Codes of code points; 255 where the shard lacks the point."""
-        lut = np.full(0x110000, 255, np.uint8)
+        """Codes of code points; 62 where the shard lacks the point."""
+        lut = np.full(0x110000, 62, np.uint8)
         lut[self.all] = 63
         lut[self.points] = np.arange(1, len(self.points) + 1, dtype=np.uint8)
         lut[0] = 0
@@ -99,23 +98,40 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """BWT in bit planes, counts sampled every 64 places, and the text of each place."""
+    """The BWT as a bit vector for each code, with counts sampled every 64 places, and the text of each place. Stored
+    it takes six bits and three bytes a place."""
 
     def __init__(self, points: np.ndarray, bwt: np.ndarray, doc: np.ndarray) -> None:
         self.alphabet = Alphabet.__new__(Alphabet)
         self.alphabet.points, self.alphabet.all, self.alphabet.size = points[0], points[1], 64
         self.bwt, self.doc, self.n = bwt, doc, len(bwt)
         blocks = self.n // 64 + 1
-        pad = np.full(blocks * 64, 0, np.uint8)
-        pad[: self.n] = bwt
-        self.planes = np.stack([np.packbits((pad >> j) & 1, bitorder="little").view(np.uint64) for j in range(6)], axis=1)
         block = np.arange(self.n, dtype=np.int64) >> 6
-        per = np.bincount(block * 64 + bwt, minlength=blocks * 64).reshape(blocks, 64)
-        self.counts = np.zeros((blocks, 64), np.int32)
-        np.cumsum(per[:-1], axis=0, out=self.counts[1:])
         total = np.bincount(bwt, minlength=64)
         self.before = np.concatenate([[0], np.cumsum(total)[:-1]]).astype(np.int64)
-        self.flip = [np.where((np.arange(64) >> j) & 1, np.uint64(0), FULL) for j in range(6)]
+        # for each code that occurs a bit vector and its count before each word; the others share an empty row
+        used = np.flatnonzero(total)
+        self.row = np.zeros(64, np.int64)
+        self.row[used] = np.arange(1, len(used) + 1) * blocks
+        self.bits = np.zeros((len(used) + 1, blocks), np.uint64)
+        self.counts = np.zeros((len(used) + 1, blocks), np.int32)
+        for r, c in enumerate(used, 1):
+            hit = np.zeros(blocks * 64, np.uint8)
+            hit[: self.n] = bwt == c
+            self.bits[r] = np.packbits(hit, bitorder="little").view(np.uint64)
+            n = np.bitwise_count(self.bits[r])
+            np.cumsum(n[:-1], out=self.counts[r, 1:])
+        del block
+        self.bits, self.counts = self.bits.ravel(), self.counts.ravel()
+        self._lo, self._hi = self._heads()
+
+    def _heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of all patterns of three codes, so that a search starts at its fourth."""
+        lo, hi = np.zeros(1, np.int64), np.full(1, self.n, np.int64)
+        for _ in range(3):  # prepend every code; the newest is the highest digit
+            c = np.repeat(np.arange(64), len(lo))
+            lo, hi = self.step(c, np.tile(lo, 64), np.tile(hi, 64))
+        return lo, hi
 
     @classmethod
     def build(cls, texts: list[str]) -> "FMIndex":
@@ -129,27 +145,28 @@ class FMIndex:
     def dump(self) -> bytes:
         """BWT at six bits and the text numbers at three bytes a place."""
         out = io.BytesIO()
-        np.savez(out, top=self.alphabet.points, all=self.alphabet.all, n=np.array([self.n]), planes=self.planes, doc=np.stack([(self.doc >> s).astype(np.uint8) for s in (0, 8, 16)]))
+        pad = np.zeros((self.n // 64 + 1) * 64, np.uint8)
+        pad[: self.n] = self.bwt
+        planes = np.stack([np.packbits((pad >> j) & 1, bitorder="little") for j in range(6)])
+        np.savez(out, top=self.alphabet.points, all=self.alphabet.all, n=np.array([self.n]), planes=planes, doc=np.stack([(self.doc >> s).astype(np.uint8) for s in (0, 8, 16)]))
         return out.getvalue()
 
     @classmethod
     def load(cls, blob: bytes) -> "FMIndex":
         z = np.load(io.BytesIO(blob))
         n, planes = int(z["n"][0]), z["planes"]
-        bwt = np.zeros(len(planes) * 64, np.uint8)
+        bwt = np.zeros(planes.shape[1] * 8, np.uint8)
         for j in range(6):
-            bwt |= np.unpackbits(np.ascontiguousarray(planes[:, j]).view(np.uint8), bitorder="little") << j
+            bwt |= np.unpackbits(planes[j], bitorder="little") << j
         d = z["doc"]
         return cls((z["top"], z["all"]), bwt[:n], d[0].astype(np.int32) | d[1].astype(np.int32) << 8 | d[2].astype(np.int32) << 16)
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of code c among the first i places of the BWT."""
-        block = i >> 6
-        words = self.planes[block]
+        at = self.row[c] + (i >> 6)
         m = (U1 << (i & 63).astype(np.uint64)) - U1
-        for j in range(6):
-            m &= words[:, j] ^ self.flip[j][c]
-        return self.counts[block, c] + np.bitwise_count(m)
+        m &= self.bits[at]
+        return self.counts[at] + np.bitwise_count(m)
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: intervals of cP from those of P."""
@@ -161,26 +178,38 @@ class FMIndex:
         Patterns lie in codes[start:end]. Returns pattern number, interval lo and hi, and length of each factor; the
         unfinished head of a pattern is left out."""
         k = len(start)
-        p = end.astype(np.int64) - 1
-        lo, hi, since = np.zeros(k, np.int64), np.full(k, self.n, np.int64), np.zeros(k, np.int32)
-        live = np.flatnonzero(p >= start)
         out = []
+        p = end.astype(np.int64)  # place behind the next code to read
+        live = np.flatnonzero(p - start >= 3)
+        lo, hi, since = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k, np.int32)
+
+        def begin(who: np.ndarray) -> None:
+            """Read the last three codes at once."""
+            q = p[who]
+            word = (codes[q - 3].astype(np.int64) << 12) | (codes[q - 2].astype(np.int64) << 6) | codes[q - 1]
+            lo[who], hi[who], since[who] = self._lo[word], self._hi[word], 3
+            p[who] = q - 3
+
+        begin(live)
         while len(live):
-            c = codes[p[live]]
-            known = c != 255
-            cc = np.where(known, c, 0)
-            a, b = self.step(cc, lo[live], hi[live])
-            b = np.where(known, b, a)
-            since[live] += 1
-            done = b - a <= most
-            if done.any():
-                d = live[done]
-                out.append((d, a[done], b[done], since[d].copy()))
-                a[done], b[done] = 0, self.n
-                since[d] = 0
-            lo[live], hi[live] = a, b
-            p[live] -= 1
-            live = live[p[live] >= start[live]]
+            small = hi[live] - lo[live] <= most
+            if small.any():
+                d = live[small]
+                out.append((d, lo[d], hi[d], since[d].copy()))
+                again = d[p[d] - start[d] >= 3]
+                begin(again)
+                # those just begun are looked at in the next turn
+                go = live[~small]
+                live = np.concatenate([go[p[go] > start[go]], again])
+                step = go[p[go] > start[go]]
+            else:
+                live = live[p[live] > start[live]]
+                step = live
+            if len(step):
+                q = p[step] - 1
+                lo[step], hi[step] = self.step(codes[q], lo[step], hi[step])
+                p[step] = q
+                since[step] += 1
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z, z

@@ -134,8 +134,7 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            sets: list = [shingles(t, k) for t in pdf["text"]]
-            s = np.array([len(x) for x in sets])
+            s = np.array([len(shingles(t, k)) for t in pdf["text"]])
             for sh in shards:
                 fit = np.flatnonzero((s * threshold <= sh["most"] + 1e-9) & (sh["least"] * threshold <= s + 1e-9))
                 if not len(fit):
@@ -143,6 +142,7 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
                 ix, there = _load(sh["path"])
                 th1, th2, tt = there["h1"].to_numpy(), there["h2"].to_numpy(), there["text"].tolist()
                 other: dict[int, set[str]] = {}
+                own: dict[int, set[str]] = {}
                 texts = pdf["text"].tolist()
                 for x in range(0, len(fit), CHUNK):
                     part = fit[x : x + CHUNK]
@@ -151,8 +151,13 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
                         for i, j in zip(part[a].tolist(), b.tolist()):
                             y = other.get(j)
                             if y is None:
+                                if len(other) > 20_000:
+                                    other.clear()
                                 y = other[j] = shingles(tt[j], k)
-                            both = len(sets[i] & y)
+                            if i not in own:
+                                own.clear()
+                                own[i] = shingles(texts[i], k)
+                            both = len(own[i] & y)
                             sim = both / (s[i] + len(y) - both)
                             if sim >= threshold - 1e-12:
                                 rows.append((i, j, sim))
