@@ -106,7 +106,6 @@ class FMIndex:
         self.alphabet.points, self.alphabet.all, self.alphabet.size = points[0], points[1], 64
         self.bwt, self.doc, self.n = bwt, doc, len(bwt)
         blocks = self.n // 64 + 1
-        block = np.arange(self.n, dtype=np.int64) >> 6
         total = np.bincount(bwt, minlength=64)
         self.before = np.concatenate([[0], np.cumsum(total)[:-1]]).astype(np.int64)
         # for each code that occurs a bit vector and its count before each word; the others share an empty row
@@ -115,16 +114,18 @@ class FMIndex:
         self.row[used] = np.arange(1, len(used) + 1) * blocks
         self.bits = np.zeros((len(used) + 1, blocks), np.uint64)
         self.counts = np.zeros((len(used) + 1, blocks), np.int32)
+        hit = np.zeros(blocks * 64, bool)
         for r, c in enumerate(used, 1):
-            hit = np.zeros(blocks * 64, np.uint8)
-            hit[: self.n] = bwt == c
+            np.equal(bwt, c, out=hit[: self.n])
             self.bits[r] = np.packbits(hit, bitorder="little").view(np.uint64)
             n = np.bitwise_count(self.bits[r])
             np.cumsum(n[:-1], out=self.counts[r, 1:])
-        del block
         self.bits, self.counts = self.bits.ravel(), self.counts.ravel()
         self._lo, self._hi = self._heads()
 
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.bits, self.counts, self.doc, self.bwt, self._lo, self._hi))
+
     def _heads(self) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of all patterns of three codes, so that a search starts at its fourth."""
         lo, hi = np.zeros(1, np.int64), np.full(1, self.n, np.int64)

@@ -84,7 +84,21 @@ def build_shards(texts: DataFrame, folder: str, shard_chars: int) -> list[dict]:
     return [r.asDict() for r in out.collect()]
 
 
+#: Shards that a Python worker keeps for its next task, newest last, and their bytes in all.
+_KEPT: dict[str, tuple[FMIndex, pd.DataFrame]] = {}
+KEEP_BYTES = 250_000_000
+
+
 def _load(path: str) -> tuple[FMIndex, pd.DataFrame]:
+    if path not in _KEPT:
+        got = _read(path)
+        while _KEPT and sum(x.nbytes() for x, _ in _KEPT.values()) + got[0].nbytes() > KEEP_BYTES:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[path] = got
+    return _KEPT[path]
+
+
+def _read(path: str) -> tuple[FMIndex, pd.DataFrame]:
     import pyarrow.parquet as pq
 
     f, p = _open(path)
@@ -135,7 +149,7 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
             s = np.array([len(shingles(t, k)) for t in pdf["text"]])
-            for sh in shards:
+            for sh in sorted(shards, key=lambda x: x["path"] not in _KEPT):
                 fit = np.flatnonzero((s * threshold <= sh["most"] + 1e-9) & (sh["least"] * threshold <= s + 1e-9))
                 if not len(fit):
                     continue
