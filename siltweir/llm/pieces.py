@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ def _depths(window: bytes, ends: list[int]) -> np.ndarray:
     at, dim = [], []
     for m in WORD.finditer(window):
         at.append(m.start())
-        dim.append(hash(m.group().lower()) & (DIM - 1))
+        dim.append(crc32(m.group().lower()) & (DIM - 1))
     rows = np.searchsorted(marks, np.array(at, dtype=np.int64), side="right")
     counts = np.bincount(rows * DIM + np.array(dim, dtype=np.int64), minlength=(k + 1) * DIM).reshape(k + 1, DIM).astype(np.float32)
     total = np.zeros((k + 2, DIM), np.float32)
