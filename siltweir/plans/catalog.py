@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from siltweir.session import table
+import importlib
+
+MODULES = ("q_url", "q_relational", "q_eval", "q_text", "q_drift", "q_page", "q_models", "q_stream")
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        try:
+            out |= getattr(importlib.import_module(f"siltweir.plans.{m}"), name, {})
+        except ModuleNotFoundError as e:
+            if e.name != f"siltweir.plans.{m}":
+                raise
+    return out
 
 
 def flagship(spark, sf_dir):
-    return table(spark, sf_dir, "run_b6_experiments").select("row_id", "url")
+    from siltweir.plans import q_url
+
+    return q_url.url_fuzzy(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _all("SQL")
