@@ -118,7 +118,7 @@ def constants_product(s, d):
 
 def set_operations(s, d):
     o, l = t(s, d, "orders").select(F.col("o_custkey").alias("k")), t(s, d, "customer").select(F.col("c_custkey").alias("k"))
-    f = lambda df, n: df.agg(F.count("*").alias("n"), F.sum("k").alias("keys")).withColumn("op", F.lit(n))
+    f = lambda df, n: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("keys")).withColumn("op", F.lit(n))
     return f(o.union(l).distinct(), "union").unionByName(f(l.subtract(o), "except")).unionByName(f(o.intersect(l), "intersect")).unionByName(f(o.union(l), "union_all"))
 
 
@@ -180,8 +180,8 @@ SQL = {
     "unordered_pairs": "SELECT a.n_name, b.n_name AS m_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name",
     "constants_product": "SELECT r_name, prevalence FROM region, (VALUES (0.01::DOUBLE), (0.001::DOUBLE), (0.0001::DOUBLE)) p(prevalence)",
     "set_operations": """WITH o AS (SELECT o_custkey AS k FROM orders), l AS (SELECT c_custkey AS k FROM customer)
-SELECT 'union' AS op, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM (SELECT k FROM o UNION SELECT k FROM l) UNION ALL SELECT 'except', count(*), CAST(sum(k) AS BIGINT) FROM (SELECT k FROM l EXCEPT SELECT k FROM o)
-UNION ALL SELECT 'intersect', count(*), CAST(sum(k) AS BIGINT) FROM (SELECT k FROM o INTERSECT SELECT k FROM l) UNION ALL SELECT 'union_all', count(*), CAST(sum(k) AS BIGINT) FROM (SELECT k FROM o UNION ALL SELECT k FROM l)""",
+SELECT 'union' AS op, count(*) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS keys FROM (SELECT k FROM o UNION SELECT k FROM l) UNION ALL SELECT 'except', count(*), CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT k FROM l EXCEPT SELECT k FROM o)
+UNION ALL SELECT 'intersect', count(*), CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT k FROM o INTERSECT SELECT k FROM l) UNION ALL SELECT 'union_all', count(*), CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT k FROM o UNION ALL SELECT k FROM l)""",
     "suffix_filter": "SELECT source, count(*) AS n FROM run_axis_s WHERE suffix(domain, '.com.example') GROUP BY 1",
     "running_totals": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders",
     "rollup_sales": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)",
