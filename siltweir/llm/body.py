@@ -70,7 +70,7 @@ def menu_items(line: str) -> list[str]:
     return [x for x in _SEP.split(line.strip()) if x] if _SEP.search(line.strip()) else []
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     no: int
     text: str
@@ -78,8 +78,54 @@ class Line:
     points: float
 
 
+# One of these must stand in a lower-cased line for the longer patterns to match at all.
+_FOOTER_KEYS = ("©", "(c)", "copyright", "reserv", "vorbehalten", "защищены", "top", "oben", "haut", "arriba", "наверх", "follow", "folgen", "suivez", "síguenos", "siga", "соцсет", "made with", "powered by", "site map", "newsletter", "boletín", "рассылк", "imprint", "impressum", "privacy", "terms", "datenschutz", "legal", "légales", "termos", "правовая", "конфиденциальность", "условия", "ltd", "inc", "llc", "gmbh", "s.a", "sa", "s.l", "sl", "lda", "ооо", "plc", "ag", "registered", "for information only")
+_NOTICE_KEYS = ("cookie", "device", "gerät", "appareil", "dispositiv", "aparelho", "privacy", "privacidad", "vie privée", "your computer", "site", "consent", "choices", "got it", "ok", "agree", "accept", "reject", "allow", "choix", "заботится о", "хранит", "сохраняет", "устройстве", "may set")
+_SCRIPT_KEYS = ("script", "browser", "human", "robot", "loading", "moment", "cookies", "для работы")
+
+
 def _norm(s: str) -> str:
-    return re.sub(r"\d+", "0", re.sub(r"\s+", " ", s).strip().casefold())
+    return _DIGITS.sub("0", _BLANKS.sub(" ", s).strip().casefold())
+
+
+_DIGITS, _BLANKS = re.compile(r"\d+"), re.compile(r"\s+")
+#: Kinds of lines met before, by labels in use; short lines recur widely. Emptied when full.
+_MEMO: dict[tuple[int, str], str] = {}
+_MEMO_SIZE = 100_000
+
+
+def _kind(t: str, labels: frozenset[str]) -> str:
+    n, low = len(t), t.lower()
+    prose = n >= LONG or (n >= PARAGRAPH and _STOP.search(t) is not None)
+    if n < 300:
+        q = unquoted(t) if "“" in t or '"' in t or "«" in t or "„" in t or "‘" in t else t
+        if any(k in low for k in _FOOTER_KEYS) and _FOOTER.search(q) and not (prose and len(_STOP.findall(t)) > 3):
+            return "footer"
+        if any(k in low for k in _NOTICE_KEYS) and _NOTICE.search(q):
+            return "notice"
+        if n < 160:
+            if any(k in low for k in _SCRIPT_KEYS) and SCRIPT.search(q) and len(_STOP.findall(t)) < 3:
+                return "script"
+            if _ASIDE.search(t):
+                return "aside"
+        if n < 60 and _SIDEBAR.search(t):
+            return "sidebar"
+    items = menu_items(t) if n < 400 else []
+    if len(items) >= 2 and sum(_norm(x) in labels for x in items) * 2 >= len(items):
+        return "crumb" if _CRUMB.match(t) else "list"
+    if n < 100:
+        if _CRUMB.match(t) and _norm(_CRUMB_SEP.split(t)[0]) in labels:
+            return "crumb"
+        if _norm(t) in labels:
+            return "label"
+    if prose:
+        return "text"
+    if _DATA.search(t) or len(items) >= 2:
+        return "data"
+    return "sentence" if _STOP.search(t) else "short"
+
+
+_CRUMB_SEP = re.compile(r"\s[>»›/]\s")
 
 
 def read_lines(text: str, labels: frozenset[str]) -> list[Line]:
@@ -88,52 +134,34 @@ def read_lines(text: str, labels: frozenset[str]) -> list[Line]:
         t = raw.strip()
         if not t:
             continue
-        n, kind = len(t), ""
-        items = menu_items(t)
-        known = sum(_norm(x) in labels for x in items)
-        q = unquoted(t) if n < 400 else t
-        prose = n >= LONG or (n >= PARAGRAPH and _STOP.search(t) is not None)
-        if n < 400 and _FOOTER.search(q) and not (prose and len(_STOP.findall(t)) > 3):
-            kind = "footer"
-        elif n < 300 and _NOTICE.search(q):
-            kind = "notice"
-        elif n < 160 and SCRIPT.search(q) and len(_STOP.findall(t)) < 3:
-            kind = "script"
-        elif n < 160 and _ASIDE.search(t):
-            kind = "aside"
-        elif n < 60 and _SIDEBAR.search(t):
-            kind = "sidebar"
-        elif len(items) >= 2 and known * 2 >= len(items):
-            kind = "crumb" if _CRUMB.match(t) else "list"
-        elif n < 100 and _CRUMB.match(t) and (_norm(re.split(r"\s[>»›/]\s", t)[0]) in labels):
-            kind = "crumb"
-        elif _norm(t) in labels:
-            kind = "label"
-        elif prose:
-            kind = "text"
-        elif _DATA.search(t) or len(items) >= 2:
-            kind = "data"
-        elif _STOP.search(t):
-            kind = "sentence"
+        n = len(t)
+        if n < 200:
+            key = (hash(labels), t)
+            kind = _MEMO.get(key)
+            if kind is None:
+                if len(_MEMO) >= _MEMO_SIZE:
+                    _MEMO.clear()
+                kind = _MEMO[key] = _kind(t, labels)
         else:
-            kind = "short"
-        # points for length and commas, discounted by the share of link text
-        link = 1.0 if kind in ("footer", "notice", "aside", "sidebar", "crumb", "list", "label", "script") else 0.0
-        points = (min(n / 100, 3) + t.count(",") + t.count("、") + t.count("，") + (kind == "text")) * (1 - link) if kind in ("text", "sentence", "data") else 0.0
+            kind = _kind(t, labels)
+        # points for length and commas; kinds that are links or labels throughout earn none
+        points = min(n / 100, 3) + t.count(",") + t.count("、") + t.count("，") + (kind == "text") if kind in ("text", "sentence", "data") else 0.0
         out.append(Line(no, t, kind, points))
     # the site's name: a short line that its footer, notice or sidebar names again
     beside = " | ".join(x.text for x in out if x.kind in ("footer", "notice", "sidebar") and "newsletter" not in x.text.casefold())
     for x in out:
-        if x.kind == "short" and len(x.text) > 3 and re.search(rf"(?<!\w){re.escape(x.text)}(?!\w)", beside):
+        if x.kind == "short" and len(x.text) > 3 and x.text in beside and re.search(rf"(?<!\w){re.escape(x.text)}(?!\w)", beside):
             x.kind = "site"
     return out
 
 
-def _same(a: str, title: str | None) -> bool:
-    if not title:
-        return False
-    x, y = _norm(a), _norm(title)
-    return x == y or any(x == p.strip() for p in re.split(r"\s+[|–—-]\s+", y))
+def _titles(title: str | None) -> frozenset[str]:
+    """What a headline may read: the title, or a part of it beside the site's name."""
+    y = _norm(title or "")
+    return frozenset({y, *(p.strip() for p in _TITLE_SEP.split(y))}) - {""}
+
+
+_TITLE_SEP = re.compile(r"\s+[|–—-]\s+")
 
 
 def body_lines(text: str | None, title: str | None = None, labels: frozenset[str] = frozenset()) -> tuple[list[int], list[int]]:
@@ -141,7 +169,8 @@ def body_lines(text: str | None, title: str | None = None, labels: frozenset[str
     lines = read_lines(text or "", labels)
     if not lines:
         return [], []
-    heads = [i for i, x in enumerate(lines) if x.kind in ("short", "label", "data", "sentence", "text") and _same(x.text, title)]
+    titles = _titles(title)
+    heads = [i for i, x in enumerate(lines) if titles and x.kind in ("short", "label", "data", "sentence", "text") and len(x.text) <= len(title) + 8 and _norm(x.text) in titles]
     # sections: a sidebar heading opens one, its entries belong to it; the next paragraph or the headline closes it
     section, sections, i = [0] * len(lines), 1, 0
     inside = 0
