@@ -22,7 +22,7 @@ def fit_linear(df: DataFrame, features: list[str], label: str) -> object:
 
 def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 4) -> object:
     """Boosted trees; a substitute for the boosters of other libraries, not equal to them bit by bit."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=0, rawPredictionCol="__r", probabilityCol="__p", predictionCol="__y")]).fit(df)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=0, predictionCol="__y").setRawPredictionCol("__r").setProbabilityCol("__p")]).fit(df)
 
 
 def fit_perceptron(df: DataFrame, features: list[str], label: str, hidden: int = 64) -> object:
