@@ -94,7 +94,7 @@ _MEMO: dict[tuple[int, str], str] = {}
 _MEMO_SIZE = 100_000
 
 
-def _kind(t: str, labels: frozenset[str]) -> str:
+def line_kind(t: str, labels: frozenset[str]) -> str:
     n, low = len(t), t.lower()
     prose = n >= LONG or (n >= PARAGRAPH and _STOP.search(t) is not None)
     if n < 300:
@@ -141,9 +141,9 @@ def read_lines(text: str, labels: frozenset[str]) -> list[Line]:
             if kind is None:
                 if len(_MEMO) >= _MEMO_SIZE:
                     _MEMO.clear()
-                kind = _MEMO[key] = _kind(t, labels)
+                kind = _MEMO[key] = line_kind(t, labels)
         else:
-            kind = _kind(t, labels)
+            kind = line_kind(t, labels)
         # points for length and commas; kinds that are links or labels throughout earn none
         points = min(n / 100, 3) + t.count(",") + t.count("、") + t.count("，") + (kind == "text") if kind in ("text", "sentence", "data") else 0.0
         out.append(Line(no, t, kind, points))
