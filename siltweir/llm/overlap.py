@@ -144,7 +144,7 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
     all distinct k-character substrings. Both inputs have h1, h2, text, one row a text."""
     spark = train.sparkSession
     folder = f"{shared_dir(spark)}/fm-{uuid.uuid4().hex}"
-    shards = sorted(build_shards(evaluation.where("text <> ''"), folder, shard_chars), key=lambda x: (x["least"], x["path"]))
+    shards = sorted(build_shards(evaluation.where(F.length("text") >= k), folder, shard_chars), key=lambda x: (x["least"], x["path"]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -189,9 +189,12 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
         if held:
             yield from run(pd.concat(held, ignore_index=True))
 
-    found = train.where("text <> ''").select("h1", "h2", "text").mapInPandas(search, "a1 long, a2 long, b1 long, b2 long, similarity double")
-    empty = train.where("text = ''").select(F.col("h1").alias("a1"), F.col("h2").alias("a2")).join(evaluation.where("text = ''").select(F.col("h1").alias("b1"), F.col("h2").alias("b2")), (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).select("a1", "a2", "b1", "b2", F.lit(1.0).alias("similarity"))
-    out = staged(found.unionByName(empty), "near")
+    found = train.where(F.length("text") >= k).select("h1", "h2", "text").mapInPandas(search, "a1 long, a2 long, b1 long, b2 long, similarity double")
+    # a text shorter than k is its own only substring, which no other text has
+    short = F.length("text") < k
+    x, y = train.where(short).select(F.col("h1").alias("a1"), F.col("h2").alias("a2")), evaluation.where(short).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    equal = x.join(y, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).select("a1", "a2", "b1", "b2", F.lit(1.0).alias("similarity"))
+    out = staged(found.unionByName(equal), "near")
     f, p = _open(folder)
     if f.get_file_info(p).type == fs.FileType.Directory:
         f.delete_dir(p)
