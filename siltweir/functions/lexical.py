@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,12 @@ def count_class(text: Column, pattern: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for ''."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    # each distinct character removed in turn gives its count
-    counts = F.transform(F.array_distinct(chars), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"))
-    return F.when(F.length(text) > 0, -F.aggregate(counts, F.lit(0.0), lambda a, k: a + k / n * F.log2(k / n))).otherwise(0.0)
+    # nothing in the lambdas but the element and columns: what else stands there would be computed for each element
+    n = F.length(text).cast("double")
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"))
+    bits = F.aggregate(F.filter(counts, lambda k: k > 0), F.lit(0.0), lambda a, k: a + k * F.log2(k))
+    # sum of k/n log2(k/n) = (sum of k log2 k) / n - log2 n
+    return F.when(F.length(text) > 0, F.log2(n) - bits / n).otherwise(0.0)
 
 
 def tokens_in(text: Column, words: tuple[str, ...]) -> Column:
@@ -52,21 +54,21 @@ def skeleton(label: Column) -> Column:
     return F.translate(out, K.LOOKALIKE_FROM, K.LOOKALIKE_TO)
 
 
-def fuzzy_brand(label: Column, lowered_url: Column) -> Column:
-    """Whether a label is a near miss of a brand that the address doesn't spell out."""
-    brands = F.array(*[F.lit(b) for b in K.BRANDS_EXTENDED if b not in K.ACRONYMS])
-    plain = F.array(*[F.lit(b) for b in K.BRANDS])
-    sk = skeleton(label)
+def fuzzy_brand(label: Column, skeleton_: Column, lowered_url: Column) -> Column:
+    """Whether a label is a near miss of a brand that the address doesn't spell out. label and skeleton_ should be plain
+    fields: they are read once a brand."""
+    short = F.array(*[F.lit(b) for b in K.BRANDS_EXTENDED if b not in K.ACRONYMS and len(b) <= 8])
+    long = F.array(*[F.lit(b) for b in K.BRANDS_EXTENDED if len(b) > 8])
 
-    def hit(b: Column) -> Column:
-        far = F.when(F.length(b) <= 8, 1).otherwise(2)
-        return (
-            (label != b)
-            & ((F.abs(F.length(sk) - F.length(b)) <= 1) & (F.levenshtein(sk, b, 1) >= 0) | (F.abs(F.length(label) - F.length(b)) <= 2) & (F.levenshtein(label, b, 2) >= 0) & (F.levenshtein(label, b, 2) <= far))
-            & ~(F.array_contains(plain, b) & F.contains(lowered_url, b))
-        )
+    def hit(far: int) -> Callable[[Column], Column]:
+        def one(b: Column) -> Column:
+            near = (F.abs(F.length(label) - F.length(b)) <= far) & (F.levenshtein(label, b, far) >= 0)
+            like = (F.abs(F.length(skeleton_) - F.length(b)) <= 1) & (F.levenshtein(skeleton_, b, 1) >= 0)
+            return (near | like) & (label != b) & ~(b.isin(*K.BRANDS) & F.contains(lowered_url, b))
 
-    return (F.length(label) >= 4) & F.exists(brands, hit)
+        return one
+
+    return (F.length(label) >= 4) & (F.exists(short, hit(1)) | F.exists(long, hit(2)))
 
 
 def with_parts(df: DataFrame, url: str, suffixes: list[str]) -> DataFrame:
@@ -118,10 +120,12 @@ def lexical(df: DataFrame, url: str, suffixes: list[str], fuzzy: bool = True) ->
         "avg_token_length": F.when(F.size(words) > 0, F.aggregate(sizes, F.lit(0), lambda a, k: a + k) / F.size(words)).otherwise(0.0),
     }
     if fuzzy:
-        cols["num_brand_tokens_fuzzy"] = F.size(F.filter(F.col("__labels"), lambda x: fuzzy_brand(F.lower(x), lower)))
+        cols["num_brand_tokens_fuzzy"] = F.size(F.filter(F.col("__pairs"), lambda x: fuzzy_brand(x["l"], x["s"], lower)))
     # shared parts are columns of a projection of their own, so that each is computed once a row; conditions around the
     # columns would keep them from being shared, so only those that don't pass a NULL on are wrapped
     x = with_parts(df, url, suffixes).withColumns({"__labels": F.concat(base, parts), "__lower": F.lower(u)})
+    if fuzzy:
+        x = x.withColumn("__pairs", F.transform("__labels", lambda v: F.struct(F.lower(v).alias("l"), skeleton(v).alias("s"))))
     keep = df.columns
     order = [f for f in FEATURES if f in cols]
     for f in ("longest_word_length", "avg_token_length", "entropy_url", "entropy_hostname", "is_shortener"):

@@ -61,7 +61,7 @@ def test_lexical_null_and_empty(spark):
 def test_fuzzy_brand(spark):
     hits = {"paypa1": True, "arnaz0n": True, "goog2e": True, "paypal": False, "apple": False, "sbin": False, "abc": False}
     df = spark.createDataFrame([(k,) for k in hits], "l string")
-    got = {r.l: r.h for r in df.select("l", L.fuzzy_brand(F.col("l"), F.lit("")).alias("h")).collect()}
+    got = {r.l: r.h for r in df.withColumn("s", L.skeleton(F.col("l"))).select("l", L.fuzzy_brand(F.col("l"), F.col("s"), F.lit("")).alias("h")).collect()}
     assert got == hits
 
 
