@@ -63,3 +63,10 @@ def unstage(df: DataFrame) -> None:
         if f.replace("file:///", "/").startswith(root.replace("file://", "")):
             p = spark._jvm.org.apache.hadoop.fs.Path(f)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input of few files over all cores before heavy work on each row; an input that has enough
+    partitions, as any large one, is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
