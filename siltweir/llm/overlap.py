@@ -242,3 +242,21 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+
+SQL = {
+    # exact set join by prefix filter: the rarest substrings of a text, as many as can be missing from its partner and one
+    "p3_found": """
+WITH src AS (SELECT row_id, split, lower(url) AS t FROM run_b6_experiments WHERE split IS NOT NULL AND url IS NOT NULL),
+one AS (SELECT t, min(row_id) AS k FROM src GROUP BY t),
+g AS (SELECT k, list_distinct(list_transform(range(1, greatest(length(t) - 3, 1)::BIGINT + 1), lambda i: substr(t, i, 4))) AS g FROM one),
+e AS (SELECT k, unnest(g) AS x FROM g), f AS (SELECT x, count(*) AS df FROM e GROUP BY x),
+r AS (SELECT e.k, e.x, row_number() OVER (PARTITION BY e.k ORDER BY df, e.x) AS r, count(*) OVER (PARTITION BY e.k) AS n FROM e JOIN f ON e.x = f.x),
+p AS (SELECT k, x FROM r WHERE r <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.k AS a, b.k AS b FROM p a JOIN p b ON a.x = b.x AND a.k < b.k),
+j AS (SELECT a, b, len(list_intersect(ga.g, gb.g)) AS i, len(ga.g) + len(gb.g) AS n FROM c JOIN g ga ON c.a = ga.k JOIN g gb ON c.b = gb.k),
+near AS (SELECT a, b FROM j WHERE 5 * i >= 4 * (n - i) UNION ALL SELECT k, k FROM one),
+pairs AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+m AS (SELECT row_id, split, k FROM src JOIN one ON src.t = one.t)
+SELECT DISTINCT least(x.row_id, y.row_id) AS row_id_a, greatest(x.row_id, y.row_id) AS row_id_b FROM pairs JOIN m x ON x.k = pairs.a JOIN m y ON y.k = pairs.b WHERE x.split = 'train' AND y.split IN ('validation', 'test')
+""",
+}
