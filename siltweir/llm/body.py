@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from siltweir.functions.hosts import url_host
 from siltweir.llm.phrases import SCRIPT, unquoted
-from siltweir.session import table
+from siltweir.session import spread, table
 
 #: A label is kept if it is found on at least this share of sites; so there are at most (labels a site) / share of them.
 LABEL_SHARE = 0.004
@@ -275,7 +275,7 @@ def marked_lines(pages: DataFrame, key: str = "page_id", text: str = "text_excer
             yield pd.DataFrame(rows, columns=[key, "line_no", "body"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(title).alias("h")).mapInPandas(run, f"{key} {kind}, line_no int, body boolean")
+    return spread(pages.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(title).alias("h"))).mapInPandas(run, f"{key} {kind}, line_no int, body boolean")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +296,7 @@ def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append("\n".join(parts[n - 1] for n in b))
             yield pd.DataFrame({"page_id": pdf["page_id"], "body": out})
 
-    return pages.select("page_id", "text_excerpt", "title").mapInPandas(run, "page_id long, body string")
+    return spread(pages.select("page_id", "text_excerpt", "title")).mapInPandas(run, "page_id long, body string")
 
 
 QUERIES = {"p4_found": p4_found, "p4_bodies": p4_bodies}
