@@ -43,6 +43,28 @@ def shingles(text: str, k: int = 4) -> set[str]:
     return {text[i : i + k] for i in range(len(text) - k + 1)} if len(text) >= k else {text}
 
 
+def distinct_counts(texts: list[str], k: int = 4) -> np.ndarray:
+    """Number of distinct k-character substrings of each text; 1 for a text shorter than k. Substrings are told apart by
+    40 bits of a hash, so a count may be short by one in about a billion texts; what is reported is counted exactly."""
+    points = code_points(texts).astype(np.uint64)
+    end = np.flatnonzero(points == 0)
+    who = np.repeat(np.arange(len(end)), np.diff(end, prepend=-1))
+    n = max(len(points) - k + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = (h ^ points[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    whole = end[who[:n]] - np.arange(n) >= k
+    key = (who[:n][whole].astype(np.uint64) << np.uint64(40)) | (h[whole] >> np.uint64(24))
+    return np.maximum(np.bincount((_distinct(key) >> np.uint64(40)).astype(np.int64), minlength=len(end)), 1)
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting in place; faster here than hashing."""
+    a.sort()
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
@@ -130,10 +152,13 @@ def _candidates(ix: FMIndex, texts: list[str], s: np.ndarray, t: float, k: int)
             at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             doc = ix.doc[at].astype(np.int64)
             factor = np.repeat(np.arange(len(w)), size)
-            pair = np.unique(factor * (int(ix.doc.max()) + 1) + doc)
-            factor, doc = np.divmod(pair, int(ix.doc.max()) + 1)
-            pairs, hits = np.unique(w[factor].astype(np.int64) * (int(ix.doc.max()) + 1) + doc, return_counts=True)
-            who_, doc_ = np.divmod(pairs, int(ix.doc.max()) + 1)
+            width = int(ix.doc.max()) + 1
+            factor, doc = np.divmod(_distinct(factor * width + doc), width)
+            each = w[factor].astype(np.int64) * width + doc
+            each.sort()
+            first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+            hits = np.diff(np.append(first, len(each)))
+            who_, doc_ = np.divmod(each[first], width)
             keep = hits >= need[who_]
             yield todo[who_[keep]], doc_[keep]
         todo, most = todo[~enough], most * 8
@@ -148,7 +173,7 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            s = np.array([len(shingles(t, k)) for t in pdf["text"]])
+            s = distinct_counts(pdf["text"].tolist(), k)
             for sh in sorted(shards, key=lambda x: x["path"] not in _KEPT):
                 fit = np.flatnonzero((s * threshold <= sh["most"] + 1e-9) & (sh["least"] * threshold <= s + 1e-9))
                 if not len(fit):
@@ -172,7 +197,7 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
                                 own.clear()
                                 own[i] = shingles(texts[i], k)
                             both = len(own[i] & y)
-                            sim = both / (s[i] + len(y) - both)
+                            sim = both / (len(own[i]) + len(y) - both)
                             if sim >= threshold - 1e-12:
                                 rows.append((i, j, sim))
                     if rows:
