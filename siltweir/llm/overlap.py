@@ -88,6 +88,7 @@ def build_shards(texts: DataFrame, folder: str, shard_chars: int) -> list[dict]:
     shards = sized.join(begin, "w").withColumn("shard", F.floor(place / shard_chars).cast("long")).select("shard", "h1", "h2", "text")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
+        _KEPT.clear()
         texts_ = pdf["text"].tolist()
         blob = FMIndex.build(texts_).dump()
         s = [len(shingles(t)) for t in texts_]
@@ -108,7 +109,7 @@ def build_shards(texts: DataFrame, folder: str, shard_chars: int) -> list[dict]:
 
 #: Shards that a Python worker keeps for its next task, newest last, and their bytes in all.
 _KEPT: dict[str, tuple[FMIndex, pd.DataFrame]] = {}
-KEEP_BYTES = 250_000_000
+KEEP_BYTES = 150_000_000
 
 
 def _load(path: str) -> tuple[FMIndex, pd.DataFrame]:
