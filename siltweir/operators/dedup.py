@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltweir.session import staged, unstage
+from siltweir.session import spread, staged, unstage
 
 
 def shingles(text: Column, k: int = 4) -> Column:
@@ -15,32 +15,32 @@ def shingles(text: Column, k: int = 4) -> Column:
     return F.when(text.isNotNull(), F.array_distinct(grams))
 
 
-def minhash(grams: Column, seeds: int = 128) -> Column:
-    """Signature: the least hash of the shingles under each seed."""
-    return F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda s: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, s))))
-
-
 def exact_duplicate_rate(df: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFrame:
     """1 - distinct / all; 0 for no rows."""
     n = df.groupBy(*by, F.col(text).alias("__t")).agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("n"), F.count_if(F.col("__t").isNotNull()).alias("d"))
     return n.select(*by, "n", F.coalesce(1 - F.col("d") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)).alias("exact_dup_rate"))
 
 
-def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = 4, bands: int = 32, rows: int = 4) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of distinct texts whose shingle sets are that similar. Candidates share a band of
-    the MinHash signature; each is checked exactly. Equal texts are one candidate, named by their smallest key; bring
-    the copies back with a join on the text. 32 bands of 4 rows miss a pair at 0.8 with a chance below 1e-7."""
-    one = df.where(F.col(text).isNotNull()).groupBy(F.lower(text).alias("t")).agg(F.min(key).alias("k")).withColumn("g", shingles(F.col("t"), k))
-    sig = staged(one.select("k", "g", minhash(F.col("g"), bands * rows).alias("sig")), "signatures")
-    band = sig.select("k", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sig", i * rows + 1, rows)))).alias("band", "h"))
-    # pairs within a bucket are stars: each member meets the smallest one, then buckets of other bands meet the rest;
-    # the full set of pairs of a bucket is needed for exactness, and is bounded by what is similar
-    other = band.select(F.col("k").alias("k2"), F.col("band").alias("b2"), F.col("h").alias("h2"))
-    cand = band.join(other, (F.col("band") == F.col("b2")) & (F.col("h") == F.col("h2")) & (F.col("k") < F.col("k2"))).select("k", "k2").distinct()
-    a, b = sig.select("k", "g"), sig.select(F.col("k").alias("k2"), F.col("g").alias("g2"))
+def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = 4) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of distinct texts whose shingle sets are that similar. Shingles are ordered
+    from rare to frequent; similar sets share one among the first of each, at places from which enough can still be in
+    common. Candidates are checked exactly. Equal texts are one candidate, named by their smallest key; bring the copies
+    back with a join on the text."""
+    one = staged(spread(df.where(F.col(text).isNotNull()).groupBy(F.lower(text).alias("t")).agg(F.min(key).alias("k"))), "texts")
+    grams = one.select("k", F.explode(shingles(F.col("t"), k)).alias("x"))
+    ranked = grams.join(grams.groupBy("x").agg(F.count("*").alias("df")), "x").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("g"))
+    n = F.size("g")
+    first = ranked.select("k", n.alias("n"), F.posexplode(F.slice("g", F.lit(1), n - F.ceil(threshold * n - 1e-9).cast("int") + 1)).alias("at", "z"))
+    first = staged(first.where("z.df > 1").select("k", "n", "at", F.col("z.x").alias("x")), "rare")
+    other = first.select(F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), "x")
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    near = (F.col("k") < F.col("k2")) & (most * (1 + threshold) >= threshold * (F.col("n") + F.col("n2")) - 1e-6)
+    cand = first.join(other, "x").where(near).select("k", "k2").distinct()
+    a, b = one.select("k", F.col("t").alias("ta")), one.select(F.col("k").alias("k2"), F.col("t").alias("tb"))
+    x = cand.join(a, "k").join(b, "k2").select("k", "k2", shingles(F.col("ta"), k).alias("g"), shingles(F.col("tb"), k).alias("g2"))
     both = F.size(F.array_intersect("g", "g2"))
     sim = both / (F.size("g") + F.size("g2") - both)
-    return cand.join(a, "k").join(b, "k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    return x.select(F.col("k").alias("a"), F.col("k2").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def greedy_keep(df: DataFrame, key: str, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:

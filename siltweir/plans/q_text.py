@@ -23,22 +23,24 @@ def shingle_counts(s, d):
 
 
 def near_dup_pairs(s, d):
-    x = D.near_pairs(_urls(s, d).where("source = 'InboxRelay'"), "row_id", "url")
+    x = D.near_pairs(_urls(s, d), "row_id", "url")
     return x.select("a", "b", F.round("similarity", 8).alias("similarity"))
 
 
 def greedy_dedup(s, d):
-    x = _urls(s, d).where("source = 'Tranco'")
-    keep = D.greedy_keep(x.groupBy(F.lower("url")).agg(F.min("row_id").alias("row_id")), "row_id", D.near_pairs(x, "row_id", "url"))
+    """Over the distinct addresses of the whole table."""
+    x = _urls(s, d)
+    keep = D.greedy_keep(x.where("url is not null").groupBy(F.lower("url")).agg(F.min("row_id").alias("row_id")), "row_id", D.near_pairs(x, "row_id", "url"))
     return keep.groupBy("kept").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
 def leakage(s, d):
-    x = _urls(s, d).where("source = 'KitWatch' and split is not null")
-    one = x.groupBy("split", F.lower("url").alias("url")).agg(F.min("row_id").alias("row_id"))
-    y = one.withColumn("url", F.concat("url", F.lit("")))
-    pairs = D.near_pairs(y.groupBy("url").agg(F.min("row_id").alias("row_id")), "row_id", "url")
-    return D.leakage_rate(pairs, one, "row_id", "split", "train", "test")
+    """Over the distinct test addresses of the whole table; an address that stands in train too is leaked."""
+    x = _urls(s, d).where("url is not null and split in ('train', 'test')")
+    one = x.groupBy(F.lower("url").alias("url")).agg(F.min("row_id").alias("row_id"), F.array_sort(F.collect_set("split")).alias("splits"))
+    rows = one.select("row_id", F.explode("splits").alias("split"))
+    same = one.where(F.size("splits") == 2).select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return D.leakage_rate(D.near_pairs(x, "row_id", "url").union(same), rows, "row_id", "split", "train", "test")
 
 
 def markov_counts(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siltweir.operators import charmodel as C
 from siltweir.operators import dedup as D
 from siltweir.operators import drift, evaluation as E, findings as G, page as P, relational as R
+from siltweir.plans import q_text
 from siltweir.sources import loaders
 from siltweir.streaming import state
 
@@ -140,3 +141,19 @@ def test_streams(spark, tmp_path):
     s = spark.readStream.schema("c string, t double").parquet(str(tmp_path / "in"))
     out = state.drain(state.rate_limited(s, "c", "t", 3, 60.0), "rl", str(tmp_path / "cp")).orderBy("at").collect()
     assert [r.allowed for r in out] == [True, True, True, False, True, True]
+
+
+def _experiments(spark, path, rows):
+    spark.createDataFrame(rows, "row_id long, url string, source string, split string, label int").write.parquet(f"{path}/run_b6_experiments.parquet")
+    return str(path)
+
+
+def test_duplicates_over_all_sources(spark, tmp_path):
+    u = "https://login.example.test/account/verify/session/0123456789"
+    v = "https://another.test/quite/different/path/of/its/own/abcdefgh"
+    rows = [(1, u, "Tranco", "test", 0), (2, u + "x", "PhishTank", "train", 1), (3, v, "KitWatch", "test", 1), (4, v, "PhiUSIIL", "train", 1), (5, "https://lone.test/", "InboxRelay", "test", 0), (6, None, "KitWatch", "test", 1), (7, u + "yy", "PhiUSIIL", None, 1)]
+    d = _experiments(spark, tmp_path, rows)
+    assert {(r.a, r.b) for r in q_text.near_dup_pairs(spark, d).collect()} == {(1, 2), (1, 7), (2, 7)}
+    assert {r.kept: (r.n, r.ids) for r in q_text.greedy_dedup(spark, d).collect()} == {True: (3, 9), False: (2, 9)}
+    r = q_text.leakage(spark, d).first()
+    assert (r.n, r.leaked) == (3, 2)
