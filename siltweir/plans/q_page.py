@@ -11,7 +11,8 @@ from siltweir.session import table
 
 
 def _pages(s, d):
-    x = table(s, d, "fetch_results").where("body is not null and content_type like 'text/html%'")
+    """All fetches with a body; the parser tells whether it is a page. Bytes that aren't UTF-8 become U+FFFD."""
+    x = table(s, d, "fetch_results").where("body is not null")
     x = x.select("fetch_id", F.make_valid_utf8(F.col("body").cast("string")).alias("html"), F.coalesce("final_url", "requested_url").alias("url"), "content_type")
     return P.parse(x, "fetch_id", "html", "url", "content_type", hosts.suffix_list(table(s, d, "public_suffix")))
 
@@ -23,9 +24,7 @@ def page_signals(s, d):
 
 
 def page_titles(s, d):
-    """Titles of bodies that are valid UTF-8."""
-    ok = table(s, d, "fetch_results").where("body is not null and content_type like 'text/html%' and is_valid_utf8(cast(body as string))").select(F.col("fetch_id").alias("page_key"))
-    return _pages(s, d).join(ok, "page_key").select(F.col("page_key").alias("fetch_id"), "title")
+    return _pages(s, d).where("is_html").select(F.col("page_key").alias("fetch_id"), "title")
 
 
 def login_language(s, d):

@@ -44,17 +44,17 @@ def leakage(s, d):
 
 
 def markov_counts(s, d):
-    return C.fit(_urls(s, d).where("url not rlike '[^ -~]'"), "url", 4, ("label",)).groupBy("label").agg(F.count("*").alias("steps"), F.sum("n").alias("n"), F.count_distinct("context").alias("contexts"))
+    return C.fit(_urls(s, d), "url", 4, ("label",)).groupBy("label").agg(F.count("*").alias("steps"), F.sum("n").alias("n"), F.count_distinct("context").alias("contexts"))
 
 
 def char_surprisal(s, d):
-    x = _urls(s, d).where("url not rlike '[^ -~]'")
+    x = _urls(s, d)
     m = C.fit(x.where("label = 0"), "url", 4)
     return C.surprisal(x.where("label = 1 and split = 'test'"), "row_id", "url", m).select("row_id", F.round("surprisal", 6).alias("surprisal"))
 
 
 def surprisal_threshold(s, d):
-    x = _urls(s, d).where("url not rlike '[^ -~]'")
+    x = _urls(s, d)
     m = C.fit(x.where("label = 0 and split = 'train'"), "url", 4)
     v = C.surprisal(x.where("label = 0 and split = 'validation'"), "row_id", "url", m)
     return C.percentile_threshold(v, "surprisal").select(F.round("threshold", 6).alias("threshold"))

@@ -19,6 +19,12 @@ def _icann(spark, sf):
     return hosts.suffix_list(table(spark, sf, "public_suffix"), ("icann",))
 
 
+def _host(url):
+    """The host as it stands, in lower case; in an address with blanks or other than plain ASCII, as it is spelled."""
+    h = hosts.url_host(url)
+    return F.when(url.rlike(r"[^ -~]|\s"), hosts.spelled(h)).otherwise(F.lower(h))
+
+
 def url_lexical(spark, sf):
     x = L.lexical(_urls(spark, sf).select("row_id", "url"), "url", _icann(spark, sf), fuzzy=False).drop("url")
     return x.select("row_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes if c != "row_id"])
@@ -32,14 +38,12 @@ def url_fuzzy(spark, sf):
 
 def url_registrable(spark, sf):
     s = hosts.suffix_list(table(spark, sf, "public_suffix"))
-    h = F.lower(hosts.url_host(F.col("url")))
-    x = _urls(spark, sf).where(~F.col("url").rlike(r"[^ -~]|\s")).select("row_id", h.alias("host"))
+    x = _urls(spark, sf).select("row_id", _host(F.col("url")).alias("host"))
     return x.select("row_id", "host", hosts.registrable(F.col("host"), s).alias("registrable"), hosts.registrable(F.col("host"), _icann(spark, sf)).alias("icann_domain"))
 
 
 def url_host_profile(spark, sf):
-    h = F.lower(hosts.url_host(F.col("url")))
-    return _urls(spark, sf).where(~F.col("url").rlike(r"[^ -~]|\s")).groupBy(h.alias("host")).agg(F.count("*").alias("urls"), F.round(F.avg(F.length("url")), 6).alias("avg_length"), F.sum("label").alias("phishing"), F.countDistinct("source").alias("sources"))
+    return _urls(spark, sf).groupBy(_host(F.col("url")).alias("host")).agg(F.count("*").alias("urls"), F.round(F.avg(F.length("url")), 6).alias("avg_length"), F.sum("label").alias("phishing"), F.countDistinct("source").alias("sources"))
 
 
 def url_repair(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from siltweir.operators import charmodel as C
 from siltweir.operators import dedup as D
 from siltweir.operators import drift, evaluation as E, findings as G, page as P, relational as R
-from siltweir.plans import q_text
+from siltweir.plans import q_page, q_text, q_url
 from siltweir.sources import loaders
 from siltweir.streaming import state
 
@@ -157,3 +157,25 @@ def test_duplicates_over_all_sources(spark, tmp_path):
     assert {r.kept: (r.n, r.ids) for r in q_text.greedy_dedup(spark, d).collect()} == {True: (3, 9), False: (2, 9)}
     r = q_text.leakage(spark, d).first()
     assert (r.n, r.leaked) == (3, 2)
+
+
+def test_odd_addresses_take_part(spark, tmp_path):
+    rows = [(1, "https://a.example.com/x", "A", "train", 0), (2, "https://a.ｅxample。com/y", "B", "validation", 0), (3, "https://ex\u00adample.com/é", "A", "test", 1), (4, "https://пример.com/", "B", "test", 1), (5, None, "A", "test", 1)]
+    d = _experiments(spark, tmp_path, rows)
+    spark.createDataFrame([("com", "icann")], "suffix string, section string").write.parquet(f"{d}/public_suffix.parquet")
+    got = {r.row_id: (r.host, r.registrable) for r in q_url.url_registrable(spark, d).collect()}
+    assert got == {1: ("a.example.com", "example.com"), 2: ("a.example.com", "example.com"), 3: ("example.com", "example.com"), 4: ("пример.com", "пример.com"), 5: (None, None)}
+    assert {r.host: r.urls for r in q_url.url_host_profile(spark, d).collect()} == {"a.example.com": 2, "example.com": 1, "пример.com": 1, None: 1}
+    steps = {0: sum(len(u) - 3 for _, u, *_, y in rows if u and y == 0), 1: sum(len(u) - 3 for _, u, *_, y in rows if u and y == 1)}
+    assert {r.label: r.n for r in q_text.markov_counts(spark, d).collect()} == steps
+    assert {r.row_id for r in q_text.char_surprisal(spark, d).collect()} == {3, 4}
+    assert q_text.surprisal_threshold(spark, d).first().threshold > 0
+
+
+def test_odd_bodies_take_part(spark, tmp_path):
+    page = "<html><title>{}</title></html>"
+    rows = [(1, page.format("A").encode(), "text/html"), (2, page.format("caf\xe9").encode("latin-1"), "text/html"), (3, page.format("C").encode(), None), (4, page.format("D").encode(), "text/plain"), (5, b"%PDF", "application/pdf"), (6, None, "text/html")]
+    spark.createDataFrame([(k, b, "http://a.test/", None, c) for k, b, c in rows], "fetch_id long, body binary, requested_url string, final_url string, content_type string").write.parquet(f"{tmp_path}/fetch_results.parquet")
+    spark.createDataFrame([("test", "icann")], "suffix string, section string").write.parquet(f"{tmp_path}/public_suffix.parquet")
+    assert {r.fetch_id: r.title for r in q_page.page_titles(spark, str(tmp_path)).collect()} == {1: "A", 2: "caf\ufffd", 3: "C", 4: "D"}
+    assert {r.page_key: r.is_html for r in q_page.page_signals(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
