@@ -48,7 +48,7 @@ EMPTY = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F,
 #: Controls that are blanks.
 BLANK_CC = {9, 10, 11, 12, 13, 0x85, 0x2028, 0x2029, 0x2800}
 
-PLAIN = r"^([!-~]([ -~]*[!-~])?)?$"
+PLAIN = r"^([!-~]([ -~]*[!-~])?)?\z"
 
 
 class Transducer:

@@ -170,3 +170,9 @@ def test_overlap_of_nothing(spark):
     one = spark.createDataFrame([(1, "abcdef", "train")], "row_id long, url string, split string")
     assert overlap.cross_split(one)[0].count() == 0
     assert F is not None
+
+
+def test_line_end_does_not_count(spark):
+    ends = ["", "\n", "\r", "\r\n", "\x85", " "]
+    df = spark.createDataFrame([(i, "full.com" + e, None) for i, e in enumerate(ends)], "row_id long, url string, domain string")
+    assert {r.f for r in df.select(look.shown_form(F.col("url")).alias("f")).collect()} == {"full.com"}
