@@ -280,7 +280,7 @@ def body_of(page: Page, code: list[int]) -> list[int]:
     if not any(flag[i] & SOLID for i in body):
         # nothing but labels: a notice that elsewhere stands beside bodies is then what the page consists of
         none = all(flag[i] & AGAIN for i in body)
-        body += [i for i in range(n) if code[i] >= I and flag[i] & SENTENCE and (flag[i] // LEX == CODE["script"] or none and flag[i] < LEX)]
+        body += [i for i in range(n) if code[i] >= I and (flag[i] // LEX == CODE["script"] or none and flag[i] & SENTENCE and flag[i] < LEX)]
         if not body:
             body = [i for a, b in blocks if code[a] < E and not (a and code[a - 1] == S) for i in range(a, b) if code[i] < I and not flag[i] & AGAIN]
     return sorted(set(body))
