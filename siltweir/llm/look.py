@@ -1,21 +1,24 @@
 """Problem 2: visually identical text in different characters.
 
-A transducer over grapheme clusters is compiled once from rules of the Unicode database (widths and other
-compatibility forms, canonical composition of accents, blanks, characters that show nothing) and a short list of
-look-alike letters. It is applied by longest match in one pass. Compilation checks for conflicts: every output is a
-fixed point, and no plain ASCII letter or digit, case, visible accent or raised digit is changed.
-
-NULL stays NULL, '' stays ''. Texts of any length are read whole. Plain ASCII without blanks at the ends is its own
-form and never leaves the JVM; only the rest is passed to Python, in Arrow batches.
+A transducer over grapheme clusters (UAX 29) is compiled once from rules of the Unicode database (widths and other
+compatibility forms, canonical decomposition and composition of accents, blanks, characters that show nothing) and a
+short list of look-alike letters. Its keys are single characters and whole sequences of a base and its marks; each
+cluster, canonically decomposed, is rewritten by longest match in one pass and composed again. So canonically
+equivalent texts come out alike whatever the script. Compilation checks for conflicts: every output is a fixed point,
+and no plain ASCII letter or digit, case, visible accent or raised digit is changed; verify() checks all code points.
+
+Joiners (U+200C, U+200D) stay where they change what is shown: in scripts that join letters, after a virama and in
+emoji sequences. NULL stays NULL, '' stays ''. Texts of any length are read whole. Plain ASCII without blanks at the
+ends is its own form and never leaves the JVM; only the rest is passed to Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,76 +54,133 @@ BLANK_CC = {9, 10, 11, 12, 13, 0x85, 0x2028, 0x2029, 0x2800}
 PLAIN = r"^([!-~]([ -~]*[!-~])?)?\z"
 
 
+_CLUSTER = regex.compile(r"\X")
+#: Scripts whose letters join, so that a joiner between them is seen.
+_JOINS = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}\p{Mandaic}\p{Manichaean}\p{Phags_Pa}\p{Adlam}\p{Hanifi_Rohingya}\p{Sogdian}]")
+_PICTURE = regex.compile(r"\p{Extended_Pictographic}")
+JOINERS = "\u200c\u200d"
+#: Ideographs, syllables and private characters, which stand for themselves or are composed by algorithm.
+_PLAIN_RANGES = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xF900), (0x17000, 0x18D80), (0x20000, 0x2F800), (0x2FA20, 0xE0000), (0xE01F0, 0x110000))
+
+
+def code_points():
+    at = 0
+    for a, b in _PLAIN_RANGES:
+        yield from range(at, a)
+        at = b
+
+
 class Transducer:
     """Longest-match rewriting of grapheme clusters."""
 
     def __init__(self) -> None:
-        self.single: dict[str, str] = {}
-        for cp in range(0x80, sys.maxunicode + 1):
-            if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xF8FF or 0xF0000 <= cp:
+        self.keys: dict[str, str] = {"\x7f": ""}
+        for cp in range(32):
+            self.keys[chr(cp)] = " " if cp in BLANK_CC else ""
+        for cp in code_points():
+            if cp < 0x80:
                 continue
             ch = chr(cp)
             cat = unicodedata.category(ch)
-            if cat == "Cn" and cp not in EMPTY:
-                continue
             if cp in BLANK_CC or cat == "Zs":
-                self.single[ch] = " "
+                to = " "
             elif cp in EMPTY or cat == "Cc" or (cat == "Cf" and cp not in DRAWN_CF):
-                self.single[ch] = ""
-            elif ch in RAISED:
+                to = ""
+            elif cat == "Cn" or ch in RAISED:
                 continue
             else:
-                to = unicodedata.normalize("NFKC", ch)
-                to = "".join(LOOK_ALIKES.get(x, x) for x in to)
-                to = "".join(" " if unicodedata.category(x) == "Zs" else x for x in to)
-                if to != ch:
-                    self.single[ch] = to
-        for cp in range(32):
-            self.single[chr(cp)] = " " if cp in BLANK_CC else ""
-        self.single["\x7f"] = ""
+                to = self._mapped(unicodedata.normalize("NFKC", ch))
+            if to != ch:
+                self.keys[ch] = to
+        # sequences: what a composed character decomposes to is rewritten as one
+        for cp in code_points():
+            d = unicodedata.normalize("NFD", chr(cp)) if cp >= 0x80 else ""
+            if len(d) > 1:
+                to = unicodedata.normalize("NFC", "".join(self.keys.get(x, x) for x in d))
+                if to != d:
+                    self.keys[d] = to
+        self.longest = max(map(len, self.keys))
+        self.memo: dict[str, str] = {}
         self.check()
 
+    @staticmethod
+    def _mapped(s: str) -> str:
+        """Compatibility forms and look-alikes of each character, until nothing changes."""
+        for _ in range(8):
+            d = unicodedata.normalize("NFKD", s) if not any(x in RAISED for x in s) else s
+            t = unicodedata.normalize("NFC", "".join(" " if unicodedata.category(x) == "Zs" else LOOK_ALIKES.get(x, x) for x in d))
+            if t == s:
+                break
+            s = t
+        return s
+
     def check(self) -> None:
         """Raise if the mapping conflicts with itself or with what must stay apart."""
-        for ch, to in self.single.items():
-            if ch.isascii() and ch.isprintable():
-                raise ValueError(f"{ch!r} is plain and must stay")
+        for key, to in self.keys.items():
+            if key.isascii() and key.isprintable():
+                raise ValueError(f"{key!r} is plain and must stay")
             if self.apply(to, strip=False) != to:
-                raise ValueError(f"{ch!r} -> {to!r} is not a fixed point")
-            if len(to) == 1 and ch in LOOK_ALIKES and ch.isupper() != to.isupper():
-                raise ValueError(f"{ch!r} -> {to!r} changes case")
+                raise ValueError(f"{key!r} -> {to!r} is not a fixed point")
+            if len(to) == 1 and key in LOOK_ALIKES and key.isupper() != to.isupper():
+                raise ValueError(f"{key!r} -> {to!r} changes case")
         for x in RAISED:
-            if x in self.single:
+            if x in self.keys:
                 raise ValueError(f"{x!r} is raised and must stay")
 
-    def cluster(self, c: str) -> str:
-        """One base with its marks: base and marks mapped, marks composed onto the base in canonical order."""
-        out = "".join([self.single.get(x, x) for x in c])
-        return unicodedata.normalize("NFC", out) if len(out) > 1 or not out.isascii() else out
+    def verify(self) -> list[str]:
+        """Characters whose form isn't that of their decomposition, or isn't its own form. Hangul syllables included."""
+        bad = []
+        for cp in (*code_points(), *range(0xAC00, 0xD7A4), *range(0x2F800, 0x2FA20)):
+            ch = chr(cp)
+            form = self.apply(ch, strip=False)
+            if form != self.apply(unicodedata.normalize("NFD", ch), strip=False) or form != self.apply(form, strip=False):
+                bad.append(ch)
+        return bad
+
+    def _joiner_stays(self, c: str, i: int, last: bool) -> bool:
+        if i == 0 or last and i + 1 == len(c):
+            return False
+        before = c[i - 1]
+        if unicodedata.combining(before) == 9 or _JOINS.match(c[0]):
+            return True
+        return c[i] == "\u200d" and i + 1 < len(c) and _PICTURE.match(c[0]) is not None and _PICTURE.match(c[i + 1]) is not None
+
+    def cluster(self, c: str, last: bool) -> str:
+        """One decomposed cluster: the longest key at each place is rewritten, then base and marks are composed."""
+        out, i, n = [], 0, len(c)
+        while i < n:
+            if c[i] in JOINERS and self._joiner_stays(c, i, last):
+                out.append(c[i])
+                i += 1
+                continue
+            for j in range(min(n, i + self.longest), i, -1):
+                to = self.keys.get(c[i:j])
+                if to is not None:
+                    out.append(to)
+                    i = j
+                    break
+            else:
+                out.append(c[i])
+                i += 1
+        return unicodedata.normalize("NFC", "".join(out))
 
     def apply(self, text: str, strip: bool = True) -> str:
-        out, i, n, memo = [], 0, len(text), self._memo
-        while i < n:
-            j = i + 1
-            # the longest cluster: marks and characters that show nothing stay with their base
-            while j < n and not (" " <= text[j] <= "~") and (unicodedata.combining(text[j]) or self.single.get(text[j]) == ""):
-                j += 1
-            c = text[i:j]
-            if j == i + 1 and " " <= c <= "~":
+        parts = _CLUSTER.findall(unicodedata.normalize("NFD", text))
+        out, memo = [], self.memo
+        for k, c in enumerate(parts):
+            if len(c) == 1 and " " <= c <= "~":
                 out.append(c)
-            else:
-                m = memo.get(c)
-                if m is None:
-                    m = self.cluster(c)
-                    if len(memo) < 65536:
-                        memo[c] = m
-                out.append(m)
-            i = j
-        s = "".join(out)
+                continue
+            last = k + 1 == len(parts)
+            m = None if last else memo.get(c)
+            if m is None:
+                m = self.cluster(c, last)
+                if not last and len(memo) < 65536:
+                    memo[c] = m
+            out.append(m)
+        s = unicodedata.normalize("NFC", "".join(out))  # what showed nothing may have stood between base and mark
         return s.strip(" ") if strip else s
 
-    _memo: dict[str, str] = {}
-
 
 @lru_cache(1)
 def transducer() -> Transducer:
@@ -170,10 +230,12 @@ def look_pairs(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = ("u
     # two unsettled rows: pair the distinct values of a form first, then expand to rows
     values = loose.select("field", "h1", "h2", "hv", "hv2").distinct()
     other = values.withColumnsRenamed({"hv": "gv", "hv2": "gv2"})
-    vp = values.join(other, ["field", "h1", "h2"]).where("(hv, hv2) < (gv, gv2)")
-    left = loose.select("field", "h1", "h2", "hv", "hv2", "id")
-    right = loose.select("field", "h1", "h2", F.col("hv").alias("gv"), F.col("hv2").alias("gv2"), F.col("id").alias("id2"))
-    two = vp.join(left, ["field", "h1", "h2", "hv", "hv2"]).join(right, ["field", "h1", "h2", "gv", "gv2"]).select("field", "id", "id2")
+    each = F.sequence(F.lit(0), F.lit(salts - 1))
+    vp = values.join(other, ["field", "h1", "h2"]).where("(hv, hv2) < (gv, gv2)").withColumn("s", F.explode(each)).withColumn("t", F.explode(each))
+    salt = F.pmod(F.col("id"), F.lit(salts)).cast("int")
+    left = loose.select("field", "h1", "h2", "hv", "hv2", "id", salt.alias("s"))
+    right = loose.select("field", "h1", "h2", F.col("hv").alias("gv"), F.col("hv2").alias("gv2"), F.col("id").alias("id2"), salt.alias("t"))
+    two = vp.join(left, ["field", "h1", "h2", "hv", "hv2", "s"]).join(right, ["field", "h1", "h2", "gv", "gv2", "t"]).select("field", "id", "id2")
     return one.unionByName(two).select("field", F.least("id", "id2").alias(f"{key}_a"), F.greatest("id", "id2").alias(f"{key}_b"))
 
 

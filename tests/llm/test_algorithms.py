@@ -102,6 +102,14 @@ def test_look():
     assert t.apply(long) == "á" * 50_000 and t.apply("") == ""
 
 
+def test_all_code_points_keep_their_form_when_decomposed():
+    t = look.transducer()
+    assert t.verify() == []
+    assert t.apply("ё") == t.apply("е\u0308") == "ë" and t.apply("각") == t.apply("\u1100\u1161\u11a8") == "각"
+    # joiners stay where they are seen, and only there
+    assert t.apply("pay\u200dpal") == "paypal" and t.apply("می\u200cخواهم") == "می\u200cخواهم" and t.apply("👩\u200d💻") == "👩\u200d💻" and t.apply("क्\u200dष") == "क्\u200dष"
+
+
 def test_look_pairs_against_brute_force(spark):
     vals = [x for p in LOOK for x in p] + APART + ["full.com", "full.com", None, "", " ", "ｆull.com", "ｆull.com"]
     df = spark.createDataFrame([(i, v, None, "c") for i, v in enumerate(vals)], "row_id long, url string, domain string, form string")
