@@ -372,6 +372,13 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return c.flatten().to_numpy(zero_copy_only=False), at - at[0]
 
 
+def pages_of(batch: pa.RecordBatch) -> Iterator[Page]:
+    """The pages of a batch of the compact table."""
+    flat = [(v.tolist(), at.tolist()) for v, at in (_flat(batch, n) for n, _ in LISTS)]
+    for i in range(batch.num_rows):
+        yield Page(*[v[at[i] : at[i + 1]] for v, at in flat])
+
+
 def learned(lines: DataFrame) -> dict[int, int]:
     """Verdicts on units that are found on many sites. Two passes over the compact table: sites of each unit, then
     where the frequent ones stand. What reaches the driver is bounded by SITE_SHARE."""
@@ -486,16 +493,13 @@ def marked_lines(pages: DataFrame, key: str = "page_id", text: str = "text_excer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n, _ in LISTS}
-            keys = batch.column(0)
             body, size = [], []
-            for vals in zip(*[cols[n] for n, _ in LISTS]):
-                p = Page(*vals)
+            for p in pages_of(batch):
                 inside = set(body_of(p, codes(p, [known.get(u, U) for u in p.unit], [known.get(u, U) for u in p.item])))
                 body += [i in inside for i in range(len(p.no))]
                 size.append(len(p.no))
             no, _ = _flat(batch, "no")
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(no, pa.int32()), pa.array(body, pa.bool_())], [key, "line_no", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(no, pa.int32()), pa.array(body, pa.bool_())], [key, "line_no", "body"])
 
     kind = pages.schema[key].dataType.simpleString()
     return lines.mapInArrow(run, f"{key} {kind}, line_no int, body boolean")
