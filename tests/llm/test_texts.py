@@ -86,7 +86,7 @@ def clean_model():
 
 def test_charset_chains():
     m = clean_model()
-    j = lambda ct, b, tr=False: C.judge(m, -1.0, C.LEAST_MARGIN, ct, b, tr)
+    j = lambda ct, b, tr=False: C.judge(m, C.LEAST_MARGIN, ct, b, tr)
     for w in WORDS:
         u = w.encode()
         assert j("text/html; charset=utf-8", u)[0] is False
@@ -110,7 +110,7 @@ def test_charset_chains():
 
 def test_charset_edges():
     m = clean_model()
-    j = lambda ct, b, tr=False: C.judge(m, -1.0, C.LEAST_MARGIN, ct, b, tr)[0]
+    j = lambda ct, b, tr=False: C.judge(m, C.LEAST_MARGIN, ct, b, tr)[0]
     cut = WORDS[5].encode()[:-1]
     assert j("text/html; charset=utf-8", cut, True) is False and j("text/html; charset=utf-8", cut, False) is True
     assert j("image/png", b"\x89PNG\r\n\x00\xff") is False and j("text/html", b"\x89PNG\r\n\x1a\n\x00\xff\xfe") is False and j("text/html", b"plain") is False
