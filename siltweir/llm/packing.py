@@ -71,8 +71,10 @@ class Index:
         return out
 
 
-def pack(texts: list[str], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers as lists of item numbers, for items no larger than the capacity."""
+def pack(texts: list[str], sizes: list[int], capacity: int, how: dict[int, str] | None = None) -> list[list[int]]:
+    """Containers as lists of item numbers, for items no larger than the capacity. `how` gets for each item whether it
+    was a seed, was retrieved as a neighbour, or was taken because it fits."""
+    how = {} if how is None else how
     ix = Index(texts)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     unused = np.ones(len(sizes), bool)
@@ -81,15 +83,30 @@ def pack(texts: list[str], sizes: list[int], capacity: int) -> list[list[int]]:
     zero = [i for i, s in enumerate(sizes) if s == 0]
     out: list[list[int]] = []
 
-    def take(i: int) -> None:
+    count: dict[int, int] = {}  # unused items of each size
+    for s, _ in left:
+        count[s] = count.get(s, 0) + 1
+
+    def take(i: int, as_: str) -> None:
         unused[i] = False
+        how[i] = as_
+        count[sizes[i]] -= 1
         j = bisect_left(left, (sizes[i], i))
         del left[j]
 
+    def first_of_two(room: int, j: int) -> int | None:
+        """The larger of two unused items that close the room exactly, from the largest that fits."""
+        while j >= 0 and 2 * left[j][0] >= room:
+            a = left[j][0]
+            if a != room and count.get(room - a, 0) > (room - a == a):
+                return left[j][1]
+            j = bisect_left(left, (a, -1)) - 1
+        return None
+
     for seed in order:
         if not unused[seed] or sizes[seed] == 0:
             continue
-        take(seed)
+        take(seed, "seed")
         box, room = [seed], capacity - sizes[seed]
         if left and left[0][0] <= room:
             s = ix.scores(seed)
@@ -102,7 +119,7 @@ def pack(texts: list[str], sizes: list[int], capacity: int) -> list[list[int]]:
                     j = bisect_left(left, (room, -1))
                     if j < len(left) and left[j][0] == room:
                         break
-                    take(i)
+                    take(i, "retrieved")
                     box.append(i)
                     room -= sizes[i]
                     if room == 0 or not left or left[0][0] > room:
@@ -111,14 +128,9 @@ def pack(texts: list[str], sizes: list[int], capacity: int) -> list[list[int]]:
                 j = bisect_right(left, (room, len(sizes))) - 1
                 i = left[j][1]
                 # two items that close the gap exactly are better than the largest one alone
-                if left[j][0] != room:
-                    for x in range(j, max(j - 64, -1), -1):
-                        rest = room - left[x][0]
-                        y = bisect_left(left, (rest, -1))
-                        if y < len(left) and left[y][0] == rest and y != x:
-                            i = left[x][1]
-                            break
-                take(i)
+                if left[j][0] != room and (first := first_of_two(room, j)) is not None:
+                    i = first
+                take(i, "fit")
                 box.append(i)
                 room -= sizes[i]
         out.append(box)
@@ -131,12 +143,15 @@ def pack(texts: list[str], sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def containers(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", language: str = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """container, place (order in it), key, piece_no (0: the whole document), start, end (bytes), size."""
+    """container, place (order in it), key, piece_no (0: the whole document), start, end (bytes), how (seed, retrieved,
+    fit, cut, empty), size. Tasks are as many as shards, so none grows with the input."""
     d = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.lower(F.coalesce(F.substring(F.trim(language), 1, 2), F.lit(""))).alias("l"), byte_size(F.col(text)).alias("n"))
     # shards by running bytes over languages; within one the place is drawn from the key
     per = d.groupBy("l").agg(F.sum(F.col("n") + 1).alias("bytes")).withColumn("begin", F.coalesce(F.sum("bytes").over(W.orderBy("l").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     place = F.col("begin") + F.pmod(F.xxhash64("k", "t"), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.col("bytes")
     shards = d.join(per, "l").withColumn("shard", F.floor(place / shard_bytes).cast("long")).select("shard", "k", "t")
+    total = d.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+    shards = shards.repartition(int(total // shard_bytes) + 1, "shard")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "t"], kind="stable")
@@ -155,19 +170,20 @@ def containers(docs: DataFrame, capacity: int, key: str = "doc_id", text: str =
                 while (b[end] & 0xC0) == 0x80:  # at a character
                     end -= 1
                 no += 1
-                rows.append((f"{shard}-{box}", 1, k, no, start, end))
+                rows.append((f"{shard}-{box}", 1, k, no, start, end, "cut"))
                 box += 1
                 start = end
             items.append((k, no + 1, start, len(b)))
             texts.append(b[start:].decode("utf-8", "replace"))
-        for c in pack(texts, [x[3] - x[2] for x in items], capacity):
-            rows += [(f"{shard}-{box}", p, *items[i]) for p, i in enumerate(c, 1)]
+        how: dict[int, str] = {}
+        for c in pack(texts, [x[3] - x[2] for x in items], capacity, how):
+            rows += [(f"{shard}-{box}", p, *items[i], how.get(i, "empty")) for p, i in enumerate(c, 1)]
             box += 1
-        out = pd.DataFrame(rows, columns=["container", "place", key, "piece_no", "start", "end"])
+        out = pd.DataFrame(rows, columns=["container", "place", key, "piece_no", "start", "end", "how"])
         return out.assign(size=out["end"] - out["start"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return shards.groupBy("shard").applyInPandas(run, f"container string, place int, {key} {kind}, piece_no int, start long, end long, size long")
+    return shards.groupBy("shard").applyInPandas(run, f"container string, place int, {key} {kind}, piece_no int, start long, end long, how string, size long")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +191,14 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, bytes and unused share."""
+    """Containers, bytes, unused share and the shares of the bytes that were retrieved as neighbours or taken to fit."""
     capacity = _limits(spark, sf_dir, "fill")[0]
     c = p7_containers(spark, sf_dir)
-    return c.agg(F.count_distinct("container").alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).select("containers", "bytes", (1 - F.col("bytes") / F.nullif(F.col("containers") * F.lit(capacity), F.lit(0))).alias("unused_share"))
+    of = lambda h: F.coalesce(F.sum(F.when(F.col("how") == h, F.col("size"))), F.lit(0))
+    per = c.groupBy("container").agg(F.sum("size").alias("size"), of("retrieved").alias("r"), of("fit").alias("f"))
+    per = per.agg(F.count("*").alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.sum("r").alias("r"), F.sum("f").alias("f"))
+    n = F.nullif(F.col("bytes"), F.lit(0))
+    return per.select("containers", "bytes", (F.col("r") / n).alias("retrieved_share"), (F.col("f") / n).alias("fit_share"), (1 - F.col("bytes") / F.nullif(F.col("containers") * F.lit(capacity), F.lit(0))).alias("unused_share"))
 
 
 QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
