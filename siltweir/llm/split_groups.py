@@ -20,12 +20,12 @@ from siltweir.functions import hosts
 from siltweir.session import staged, table, unstage
 
 #: Sizes up to this total are summed exactly; larger components are first placed greedily (see choose_sizes).
-MAX_BITS = 1 << 27
+MAX_BITS = 1 << 29
 #: Hash buckets in which components of one size are numbered, so that no window holds them all.
 RANK_BUCKETS = 256
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edge table; root is the smallest node of the component.
 
     Each round hooks every root to the smallest neighbouring root, shortcuts the parents until all trees are stars,
@@ -35,14 +35,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct()
     live = staged(e.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     parent = staged(nodes.select("node", F.col("node").alias("root")), "parents")
-    for _ in range(max_rounds):
+    while True:  # each round at least halves the roots that touch another
         # hook: the larger root of an edge takes the smallest root it touches
         hook = staged(live.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("p")), "hook")
         if hook.isEmpty():
+            unstage(hook)
+            unstage(live)
             return parent
-        while True:  # shortcut: p(v) = p(p(v)) until nothing changes
-            up = hook.alias("h").join(hook.select(F.col("v").alias("v2"), F.col("p").alias("p2")), F.col("p") == F.col("v2"), "left")
-            nxt = staged(up.select("v", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved")), "hook")
+        while True:  # shortcut: p(v) = p(p(p(v))) until nothing changes
+            up = hook
+            for i in (2, 3):
+                up = up.join(hook.select(F.col("v").alias(f"v{i}"), F.col("p").alias(f"p{i}")), F.col("p") == F.col(f"v{i}"), "left").withColumn("p", F.coalesce(f"p{i}", "p")).drop(f"v{i}")
+            nxt = staged(up.select("v", "p", F.col("p3").isNotNull().alias("moved")), "hook")
             moved = not nxt.where("moved").isEmpty()
             unstage(hook)
             hook = nxt.drop("moved")
@@ -55,8 +59,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         live2 = staged(hi.where("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "edges")
         unstage(parent)
         unstage(live)
+        unstage(hook)
         parent, live = parent2, live2
-    raise RuntimeError("components did not settle")
 
 
 def source_edges(rows: DataFrame) -> DataFrame:
@@ -79,35 +83,63 @@ def related_sources(df: DataFrame, suffixes: DataFrame) -> DataFrame:
     return components(source_edges(staged(with_entity(df, suffixes), "entities"))).select(F.col("node").alias("source"), F.col("root").alias("component"))
 
 
+def _reach(items: list[tuple[int, int]], cap: int) -> int:
+    """Bitset of the sums up to cap that subsets of the items (size, copies taken together) reach."""
+    mask, bits = (1 << (cap + 1)) - 1, 1
+    for s, k in items:
+        if s * k <= cap:
+            bits |= (bits << (s * k)) & mask
+    return bits
+
+
+def _meet(a: int, b: int, total: int, width: int = 1 << 20) -> int:
+    """The least s in a whose complement total - s is in b, found piece by piece."""
+    for off in range(0, total + 1, width):
+        w = min(width, total + 1 - off)
+        x = (a >> off) & ((1 << w) - 1)
+        if x:
+            y = (b >> (total - off - w + 1)) & ((1 << w) - 1)
+            x &= int(bin(y)[2:].zfill(w)[::-1], 2)
+            if x:
+                return off + (x & -x).bit_length() - 1
+    raise ValueError("no such sum")
+
+
 def _subset_counts(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
     """How many components of each (size, multiplicity) to take so that the total comes closest to target. Bitset
-    subset sum over binary-split multiplicities; total length 2 x target bits, as no nearest sum lies beyond."""
+    subset sum over binary-split multiplicities, up to 2 x target, as no nearest sum lies beyond. Which items make up
+    the sum is found by halving the items: two bitsets are held at a time, whatever their number."""
     if target <= 0 or not sizes:
         return {}
     cap = 2 * target + 1
-    mask = (1 << (cap + 1)) - 1
-    reach, items = 1, []
+    items = []
     for s, m in sizes:
-        k = 1
-        m = min(m, cap // s)
+        k, m = 1, min(m, cap // s)
         while m > 0:
             k = min(k, m)
-            before = reach
-            reach = (reach | (reach << (s * k))) & mask
-            items.append((s, k, before))
+            items.append((s, k))
             m -= k
             k *= 2
-    below = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+    reach = _reach(items, cap)
+    best = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
     above = reach >> target
-    best = below
     if above:
         up = target + (above & -above).bit_length() - 1
-        best = up if up - target < target - below else below
+        best = up if up - target < target - best else best
+    del reach, above
     taken: dict[int, int] = {}
-    for s, k, before in reversed(items):  # reach before the item tells whether it was needed
-        if not (before >> best) & 1:
+    todo = [(items, best)]
+    while todo:
+        part, total = todo.pop()
+        if total == 0:
+            continue
+        if len(part) == 1:
+            s, k = part[0]
             taken[s] = taken.get(s, 0) + k
-            best -= s * k
+            continue
+        half = len(part) // 2
+        s = _meet(_reach(part[:half], total), _reach(part[half:], total), total)
+        todo += [(part[:half], s), (part[half:], total - s)]
     return taken
 
 
