@@ -18,7 +18,7 @@ URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*)
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "nil", "unknown", "undefined", "localhost", "nan", "?", ".")
 
 #: A public suffix table is a dimension; beyond this many rows it isn't one and is refused.
-MAX_SUFFIXES = 2_000
+MAX_SUFFIXES = 50_000
 
 
 def url_part(url: Column, group: int) -> Column:
@@ -75,17 +75,23 @@ def suffix_list(suffixes: DataFrame, sections: tuple[str, ...] = ("icann", "priv
     return sorted(r.s for r in rows if r.s)
 
 
+def listed_suffix(host: Column, suffixes: list[str]) -> Column:
+    """The longest listed suffix that the host ends in or is; '' where there is none. One lookup for each number of
+    labels, however long the list."""
+    by_labels: dict[int, list[str]] = {}
+    for s in suffixes:
+        by_labels.setdefault(s.count(".") + 1, []).append(s)
+    tails = [F.substring_index(host, ".", -n) for n in sorted(by_labels, reverse=True)]
+    return F.coalesce(*[F.when(t.isin(*by_labels[n]), t) for n, t in zip(sorted(by_labels, reverse=True), tails)], F.when(host.isNotNull(), F.lit("")))
+
+
 def registrable(host: Column, suffixes: list[str]) -> Column:
     """Registrable domain of a spelled host: longest listed suffix plus one label. NULL for addresses, hosts that are
-    a suffix, single labels and hosts with blanks. Under no listed suffix the last label counts as one.
-
-    One regular expression: the leftmost label that is followed by a whole listed suffix begins the result, and the
-    leftmost is the one with the longest suffix."""
-    alternatives = "|".join(re.escape(s) for s in sorted(suffixes, key=len, reverse=True)) or "[^.]+"
-    listed = F.nullif(F.regexp_extract(host, rf"(?:^|\.)([^.]+\.(?:{alternatives}))$", 1), F.lit(""))
-    other = F.nullif(F.regexp_extract(host, r"(?:^|\.)([^.]+\.[^.]+)$", 1), F.lit(""))
-    unfit = host.rlike(r"\s|\.\.|:|^\d{1,3}(\.\d{1,3}){3}$") | host.isin(*suffixes or [""])
-    return F.when(~unfit, F.coalesce(listed, other))
+    a suffix, single labels and hosts with blanks. Under no listed suffix the last label counts as one."""
+    s = listed_suffix(host, suffixes)
+    one_more = F.when(s == "", F.substring_index(host, ".", -2)).otherwise(F.call_function("substring_index", host, F.lit("."), -(F.length(F.regexp_replace(s, r"[^.]", "")) + 2)))
+    unfit = host.rlike(r"\s|\.\.|:|^\.|\.$|^\d{1,3}(\.\d{1,3}){3}$") | (host == s) | ~F.contains(host, F.lit("."))
+    return F.when(~unfit, one_more)
 
 
 def with_entity(df: DataFrame, domain: str, url: str, out: str, suffixes: list[str]) -> DataFrame:

@@ -1,15 +1,18 @@
-"""The 36 lexical columns of an address, as native expressions. One narrow pass: no shuffle, no Python."""
+"""The 36 lexical columns of an address, as native expressions but for entropy, which is counted in Arrow batches. One
+narrow pass: no shuffle."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltweir.functions import tokens as K
-from siltweir.functions.hosts import url_part
+from siltweir.functions.hosts import listed_suffix, url_part
 
 FEATURES = (
     "url_length hostname_length path_length query_length fragment_length num_dots num_hyphens num_underscores num_slashes num_digits num_equal num_at num_ampersand num_percent num_question num_params num_subdomains entropy_url entropy_hostname digit_ratio letter_ratio special_ratio has_ip_literal has_https has_port is_shortener num_suspicious_tokens num_brand_tokens num_brand_tokens_fuzzy num_brand_tokens_extended num_suspicious_tokens_extended brand_in_subdomain tld_length tld_is_common longest_word_length avg_token_length"
@@ -28,14 +31,24 @@ def count_class(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+@F.pandas_udf(T.DoubleType())
+def _entropy(texts: pd.Series) -> pd.Series:
+    """All characters of a batch are sorted at once, numbers of equal ones summed by text."""
+    known = texts.dropna()
+    points = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = known.str.len().to_numpy(np.int64)
+    key = (np.repeat(np.arange(len(known), dtype=np.int64), size) << 21) | points
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(key)))
+    bits = np.bincount(key[first] >> 21, n * np.log2(n), minlength=len(known))
+    whole = np.maximum(size, 1)
+    return pd.Series(np.where(size > 0, np.maximum(np.log2(whole) - bits / whole, 0.0), 0.0), known.index).reindex(texts.index)
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for ''."""
-    # nothing in the lambdas but the element and columns: what else stands there would be computed for each element
-    n = F.length(text).cast("double")
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"))
-    bits = F.aggregate(F.filter(counts, lambda k: k > 0), F.lit(0.0), lambda a, k: a + k * F.log2(k))
-    # sum of k/n log2(k/n) = (sum of k log2 k) / n - log2 n
-    return F.when(F.length(text) > 0, F.log2(n) - bits / n).otherwise(0.0)
+    return _entropy(text)
 
 
 def tokens_in(text: Column, words: tuple[str, ...]) -> Column:
@@ -46,29 +59,86 @@ def tokens_in(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def skeleton(label: Column) -> Column:
-    """Look-alike sequences, then look-alike characters, give way to what they look like."""
-    out = F.lower(label)
-    for a, b in K.LOOKALIKE_SEQUENCES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.translate(out, K.LOOKALIKE_FROM, K.LOOKALIKE_TO)
-
+_PLAIN = str.maketrans(K.LOOKALIKE_FROM, K.LOOKALIKE_TO)
+_LONG = 8  # brands of more letters may be two edits away
 
-def fuzzy_brand(label: Column, skeleton_: Column, lowered_url: Column) -> Column:
-    """Whether a label is a near miss of a brand that the address doesn't spell out. label and skeleton_ should be plain
-    fields: they are read once a brand."""
-    short = F.array(*[F.lit(b) for b in K.BRANDS_EXTENDED if b not in K.ACRONYMS and len(b) <= 8])
-    long = F.array(*[F.lit(b) for b in K.BRANDS_EXTENDED if len(b) > 8])
 
-    def hit(far: int) -> Callable[[Column], Column]:
-        def one(b: Column) -> Column:
-            near = (F.abs(F.length(label) - F.length(b)) <= far) & (F.levenshtein(label, b, far) >= 0)
-            like = (F.abs(F.length(skeleton_) - F.length(b)) <= 1) & (F.levenshtein(skeleton_, b, 1) >= 0)
-            return (near | like) & (label != b) & ~(b.isin(*K.BRANDS) & F.contains(lowered_url, b))
+def _without(word: str, letters: int) -> set[str]:
+    """The word and what is left of it without up to so many letters."""
+    out = last = {word}
+    for _ in range(letters):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
-        return one
 
-    return (F.length(label) >= 4) & (F.exists(short, hit(1)) | F.exists(long, hit(2)))
+@lru_cache(1)
+def _brand_forms() -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Words within n edits of each other have a form in common among those without up to n letters: form -> brands for
+    one edit, and for two of the long brands."""
+    one: dict[str, list[str]] = {}
+    two: dict[str, list[str]] = {}
+    for b in K.BRANDS_EXTENDED:
+        if b not in K.ACRONYMS:
+            for f in _without(b, 1):
+                one.setdefault(f, []).append(b)
+            for f in _without(b, 2) if len(b) > _LONG else ():
+                two.setdefault(f, []).append(b)
+    return one, two
+
+
+def _within(a: str, b: str, edits: int) -> bool:
+    if abs(len(a) - len(b)) > edits:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] <= edits
+
+
+def near_brands(label: str) -> tuple[str, ...]:
+    """Brands that a lower-cased label nearly spells: within one edit (two of a long brand), or within one edit once
+    look-alike sequences and characters have given way to what they look like."""
+    if len(label) < 4:
+        return ()
+    plain = label
+    for a, b in K.LOOKALIKE_SEQUENCES:
+        plain = plain.replace(a, b)
+    plain = plain.translate(_PLAIN)
+    one, two = _brand_forms()
+    longest = max(map(len, K.BRANDS_EXTENDED))
+    maybe = {b for w in {label, plain} if len(w) <= longest + 1 for f in _without(w, 1) for b in one.get(f, ())}
+    if _LONG < len(label) + 2 <= longest + 4:
+        maybe |= {b for f in _without(label, 2) for b in two.get(f, ())}
+    return tuple(b for b in maybe if b != label and (_within(label, b, 1 if len(b) <= _LONG else 2) or _within(plain, b, 1)))
+
+
+#: Labels met before; they recur widely. Emptied when full.
+_NEAR: dict[str, tuple[str, ...]] = {}
+
+
+@F.pandas_udf(T.IntegerType())
+def _fuzzy(labels: pd.Series, urls: pd.Series) -> pd.Series:
+    out = []
+    for ls, u in zip(labels, urls):
+        n = 0
+        for v in ls if ls is not None else ():
+            near = _NEAR.get(v)
+            if near is None:
+                if len(_NEAR) >= 500_000:
+                    _NEAR.clear()
+                near = _NEAR[v] = near_brands(v.lower())
+            n += bool(near) and any(b not in K.BRANDS or b not in u for b in near)
+        out.append(n if ls is not None and u is not None else None)
+    return pd.Series(out, dtype="Int32")
+
+
+def fuzzy_brands(labels: Column, lowered_url: Column) -> Column:
+    """How many labels are a near miss of a brand that the address doesn't spell out. Each label is looked up once by a
+    worker, in Arrow batches."""
+    return _fuzzy(labels, lowered_url)
 
 
 def with_parts(df: DataFrame, url: str, suffixes: list[str]) -> DataFrame:
@@ -80,8 +150,7 @@ def with_parts(df: DataFrame, url: str, suffixes: list[str]) -> DataFrame:
     x = x.withColumn("__port", F.regexp_extract(after, r":([^:\]]*)$", 1))
     host = F.lower(F.regexp_replace(F.regexp_replace(after, r":[^:\]]*$", ""), r"^\[|\]$", ""))
     x = x.withColumn("__host", host)
-    alternatives = "|".join(re.escape(s) for s in sorted(suffixes, key=len, reverse=True)) or "(?!)"
-    x = x.withColumn("__suffix", F.when(F.col("__host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.lit("")).otherwise(F.regexp_extract(F.col("__host"), rf"(?:^|\.)({alternatives})$", 1)))
+    x = x.withColumn("__suffix", F.when(F.col("__host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.lit("")).otherwise(listed_suffix(F.col("__host"), suffixes)))
     rest = F.when(F.col("__suffix") == "", F.col("__host")).otherwise(F.substr(F.col("__host"), F.lit(1), F.greatest(F.length("__host") - F.length("__suffix") - 1, F.lit(0))))
     x = x.withColumn("__rest", F.when(F.col("__host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.col("__host")).otherwise(rest))
     ip = F.col("__host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
@@ -120,12 +189,10 @@ def lexical(df: DataFrame, url: str, suffixes: list[str], fuzzy: bool = True) ->
         "avg_token_length": F.when(F.size(words) > 0, F.aggregate(sizes, F.lit(0), lambda a, k: a + k) / F.size(words)).otherwise(0.0),
     }
     if fuzzy:
-        cols["num_brand_tokens_fuzzy"] = F.size(F.filter(F.col("__pairs"), lambda x: fuzzy_brand(x["l"], x["s"], lower)))
+        cols["num_brand_tokens_fuzzy"] = fuzzy_brands(F.col("__labels"), lower)
     # shared parts are columns of a projection of their own, so that each is computed once a row; conditions around the
     # columns would keep them from being shared, so only those that don't pass a NULL on are wrapped
     x = with_parts(df, url, suffixes).withColumns({"__labels": F.concat(base, parts), "__lower": F.lower(u)})
-    if fuzzy:
-        x = x.withColumn("__pairs", F.transform("__labels", lambda v: F.struct(F.lower(v).alias("l"), skeleton(v).alias("s"))))
     keep = df.columns
     order = [f for f in FEATURES if f in cols]
     for f in ("longest_word_length", "avg_token_length", "entropy_url", "entropy_hostname", "is_shortener"):

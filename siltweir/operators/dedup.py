@@ -43,12 +43,12 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: in
     return x.select(F.col("k").alias("a"), F.col("k2").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def greedy_keep(df: DataFrame, key: str, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def greedy_keep(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """(key, kept): a row is dropped if it is similar to a kept row before it. Fixpoint: rows whose earlier neighbours are
     all dropped are kept, rows with a kept earlier neighbour are dropped; equals the sequential result."""
     live = staged(pairs.select(F.col("a").alias("early"), F.col("b").alias("late")), "greedy")
     state = staged(live.select(F.col("early").alias("k")).union(live.select("late")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "greedy-state")
-    for _ in range(max_rounds):
+    while True:  # the first undecided row of the order is decided in every round
         open_ = state.where("kept is null").select("k")
         if open_.isEmpty():
             break

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltweir.operators.ordered import percentiles
+from siltweir.operators.relational import chunks
+
 
 def _edges(df: DataFrame, feature: str, by: list[str], bins: int) -> DataFrame:
-    """Distinct exact quantile edges of the expected sample of each group; percentile is an aggregate, not a sort in
-    one task."""
-    q = ", ".join(str(i / bins) for i in range(bins + 1))
-    return df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.expr(f"percentile({feature}, array({q}))"))).alias("edges"))
+    """Distinct exact quantile edges of the expected sample of each group."""
+    p = percentiles(df, feature, [i / bins for i in range(bins + 1)], by)
+    return p.select(*by, F.array_sort(F.array_distinct("percentiles")).alias("edges"))
 
 
 def _bin(value: Column, edges: Column) -> Column:
@@ -29,10 +31,12 @@ def psi_pairs(df: DataFrame, feature: str, group: str, pairs: DataFrame, bins: i
     x = df.where(F.col(feature).isNotNull()).select(F.col(group).alias("g"), F.col(feature).cast("double").alias("v"))
     edges = _edges(x, "v", ["g"], bins)
     p = pairs.join(edges.withColumnRenamed("g", "expected"), "expected")
-    n = x.groupBy("g").agg(F.count("*").alias("n"))
+    v = x.groupBy("g", "v").agg(F.count("*").alias("m"))
+    n = v.groupBy("g").agg(F.sum("m").alias("n"))
 
     def shares(side: str) -> DataFrame:
-        y = x.join(F.broadcast(p), F.col("g") == F.col(side)).groupBy("expected", "actual", _bin(F.col("v"), F.col("edges")).alias("bin")).agg(F.count("*").alias("c"))
+        # values are counted first, then meet the pairs that their group takes part in
+        y = v.join(p, F.col("g") == F.col(side)).groupBy("expected", "actual", _bin(F.col("v"), F.col("edges")).alias("bin")).agg(F.sum("m").alias("c"))
         return y.join(n, F.col(side) == F.col("g")).select("expected", "actual", "bin", (F.col("c") / F.col("n")).alias(f"s_{side}"))
 
     full = p.select("expected", "actual", F.size("edges").alias("k"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
@@ -43,7 +47,7 @@ def psi_pairs(df: DataFrame, feature: str, group: str, pairs: DataFrame, bins: i
 
 def psi_across_windows(df: DataFrame, feature: str, order: list[str], n_windows: int = 6, bins: int = 10) -> DataFrame:
     """Mean PSI of consecutive windows of equal count."""
-    x = df.withColumn("__w", F.ntile(n_windows).over(W.orderBy(*order)))
+    x = chunks(df.select(feature, *[c for c in order if c != feature]), order, n_windows, "__w")
     pairs = df.sparkSession.range(1, n_windows).select(F.col("id").cast("int").alias("expected"), (F.col("id") + 1).cast("int").alias("actual"))
     return psi_pairs(x, feature, "__w", pairs, bins).agg(F.coalesce(F.avg("psi"), F.lit(0.0)).alias("psi_t"))
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltweir.operators.ordered import prefix_sums
+
 
 def temporal_split(df: DataFrame, ts: str, cut: str, months: tuple[int, ...], disjoint: bool = False) -> DataFrame:
     """Rows with a window column: 0 for train (up to the cut), m for the window that ends m months after it. Windows are
@@ -58,12 +64,15 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
 
 
+def by_score(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, __s, p, n): counts of both classes at each score."""
+    return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+
+
 def roc_auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Exact area under the curve from tie-grouped counts: one aggregate by score, one running sum. NULL where a class
-    is missing."""
-    g = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = W.partitionBy(*by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    """Exact area under the curve from tie-grouped counts and their running sums, which no task holds whole. NULL where a
+    class is missing."""
+    g = prefix_sums(by_score(df, score, label, by), ["__s"], {"below": F.col("n")}, list(by))
     return g.groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 
@@ -78,58 +87,151 @@ def threshold_choice(df: DataFrame, score: str, label: str, prevalence: float =
 
 
 def coverage_risk(df: DataFrame, score: str, label: str, half_widths: tuple[float, ...]) -> DataFrame:
-    """Share answered and error among the answered when scores within a half-width of one half abstain."""
-    x = df.select(score, label, F.explode(F.array(*[F.lit(float(h)) for h in half_widths])).alias("half_width"))
-    s, h = F.col(score), F.col("half_width")
-    said = (s < 0.5 - h) | (s > 0.5 + h) | ((h == 0) & (s == 0.5))
-    wrong = (s >= 0.5).cast("int") != F.col(label)
-    return x.groupBy("half_width").agg((F.count_if(said) / F.count("*")).alias("coverage"), (F.count_if(said & wrong) / F.nullif(F.count_if(said), F.lit(0))).alias("risk"))
+    """Share answered and error among the answered when scores within a half-width of one half, or at it, abstain. Rows
+    are counted by score before they meet the half-widths."""
+    g = df.groupBy(F.col(score).alias("s"), F.col(label).alias("y")).agg(F.count("*").alias("c"))
+    x = g.select("*", F.explode(F.array(*[F.lit(float(h)) for h in half_widths])).alias("half_width"))
+    s, h, c = F.col("s"), F.col("half_width"), F.col("c")
+    said = F.coalesce((s < 0.5 - h) | (s > 0.5 + h), F.lit(False))
+    wrong = (s >= 0.5).cast("int") != F.col("y")
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
+    return x.groupBy("half_width").agg((of(said) / F.sum(c)).alias("coverage"), (of(said & wrong) / F.nullif(of(said), F.lit(0))).alias("risk"))
 
 
 def abstention_grid(df: DataFrame, score: str, label: str, grid: tuple[float, ...], least_coverage: float) -> DataFrame:
-    """Band (lo, hi) of least error among those that answer enough; of equal ones the widest, then the lowest lo."""
-    n = F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a in grid for b in grid if a < b]))
-    x = df.select(score, label, n.alias("g")).select(score, label, "g.lo", "g.hi")
+    """Band (lo, hi) of least error among those that answer enough; of equal ones the widest, then the lowest lo. Rows are
+    counted by the place of their score among the grid's values before they meet the bands."""
     s = F.col(score)
-    said, wrong = (s < F.col("lo")) | (s > F.col("hi")), (s > F.col("hi")).cast("int") != F.col(label)
-    r = x.groupBy("lo", "hi").agg((F.count_if(said) / F.count("*")).alias("coverage"), (F.count_if(said & wrong) / F.nullif(F.count_if(said), F.lit(0))).alias("risk"))
+    edges = sorted(set(grid))
+    place = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < s)) * 2 + s.isin(*edges).cast("int")
+    g = df.where(s.isNotNull()).groupBy(place.alias("at"), F.col(label).alias("y")).agg(F.count("*").alias("c"))
+    bands = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"), F.lit(2 * edges.index(a)).alias("a"), F.lit(2 * edges.index(b) + 1).alias("b")) for a in edges for b in edges if a < b])
+    x = g.select("*", F.explode(bands).alias("g")).select("at", "y", "c", "g.*")
+    # at: twice the edges below, and one more on an edge; so below lo is at <= a, and above hi is at > b
+    said, high, c = (F.col("at") <= F.col("a")) | (F.col("at") > F.col("b")), F.col("at") > F.col("b"), F.col("c")
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
+    r = x.groupBy("lo", "hi").agg((of(said) / F.sum(c)).alias("coverage"), (of(said & (high.cast("int") != F.col("y"))) / F.nullif(of(said), F.lit(0))).alias("risk"))
     return r.where(F.col("coverage") >= least_coverage).orderBy("risk", F.desc(F.col("hi") - F.col("lo")), "lo").limit(1)
 
 
+#: Cumulative probabilities of a Poisson weight of mean 1.
+_POISSON = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(12)]))
+
+
+def _weights(keys: np.ndarray, boots: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson weights, rows by resamples, drawn from a mix of key, resample and seed (splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + boots.astype(np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed + 1) * np.uint64(0x8CB92BA72F3D8DD7)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(_POISSON, (z >> np.uint64(11)) / float(1 << 53), side="right")
+
+
+def resampled(df: DataFrame, scores: list[str], label: str, key: str, n_boot: int, seed: int = 0) -> DataFrame:
+    """(score column, b, s, p, n): weighted class counts at each score of each resample. Weights depend on key and
+    resample only, so columns of scores are paired. Each batch is summed before anything is shuffled."""
+
+    def run(batches):
+        boots = np.arange(n_boot)
+        for pdf in batches:
+            w = _weights(pdf["k"].to_numpy(), boots, seed)
+            y = pdf["y"].to_numpy()
+            for i, c in enumerate(scores):
+                v, at = np.unique(pdf[f"s{i}"].to_numpy(), return_inverse=True)
+                p, n = np.zeros((len(v), n_boot), np.int64), np.zeros((len(v), n_boot), np.int64)
+                np.add.at(p, at[y == 1], w[y == 1])
+                np.add.at(n, at[y == 0], w[y == 0])
+                r, b = np.nonzero(p + n)
+                yield pd.DataFrame({"score": c, "b": b, "s": v[r], "p": p[r, b], "n": n[r, b]})
+
+    x = df.dropna(subset=[*scores, label]).select(F.xxhash64(key).alias("k"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores)])
+    return x.mapInPandas(run, "score string, b int, s double, p long, n long").groupBy("score", "b", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+
+def _boot_aucs(df: DataFrame, scores: list[str], label: str, key: str, n_boot: int, seed: int) -> DataFrame:
+    g = prefix_sums(resampled(df, scores, label, key, n_boot, seed), ["s"], {"below": F.col("n")}, ["score", "b"])
+    a = g.groupBy("score", "b").agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
+    return a.where("auc is not null")
+
+
 def bootstrap_auc(df: DataFrame, score: str, label: str, key: str, n_boot: int = 200, ci: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval from Poisson resamples (each row weighs 0, 1, 2, ... times in a resample, drawn from a hash of
-    key and resample, so replicas agree and scores are paired). Resamples without both classes are left out."""
-    x = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "k", "b"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    w = sum(((u > e).cast("int") for e in edges[1:]), (u > edges[0]).cast("int"))
-    g = x.withColumn("w", w).where("w > 0").groupBy("b", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy("b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    a = g.withColumn("below", below).groupBy("b").agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc")).where("auc is not null")
+    key and resample, so replicas agree). Resamples without both classes are left out."""
+    a = _boot_aucs(df, [score], label, key, n_boot, seed)
+    lo, hi = (1 - ci) / 2, 1 - (1 - ci) / 2
+    return a.agg(F.expr(f"percentile(auc, {lo})").alias("lo"), F.expr(f"percentile(auc, {hi})").alias("hi"), F.count("*").alias("n_boot"))  # one value a resample
+
+
+def bootstrap_delta(df: DataFrame, first: str, second: str, label: str, key: str, n_boot: int = 200, ci: float = 0.95, seed: int = 0) -> DataFrame:
+    """Difference of the areas under the curve of two scores of the same rows, second less first, with a percentile
+    interval over paired resamples and whether it excludes 0."""
+    a = _boot_aucs(df, [first, second], label, key, n_boot, seed)
+    per = a.groupBy("b").pivot("score", [first, second]).agg(F.first("auc")).select((F.col(second) - F.col(first)).alias("d")).where("d is not null")
     lo, hi = (1 - ci) / 2, 1 - (1 - ci) / 2
-    return a.agg(F.expr(f"percentile(auc, {lo})").alias("lo"), F.expr(f"percentile(auc, {hi})").alias("hi"), F.count("*").alias("n_boot"))
+    x, y = roc_auc(df, first, label), roc_auc(df, second, label)
+    b = per.agg(F.expr(f"percentile(d, {lo})").alias("lo"), F.expr(f"percentile(d, {hi})").alias("hi"), F.count("*").alias("n_boot"))
+    r = x.select(F.col("auc").alias("x")).crossJoin(y.select(F.col("auc").alias("y"))).crossJoin(b)  # one row each
+    return r.select((F.col("y") - F.col("x")).alias("delta"), "lo", "hi", "n_boot", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("differs"))
+
+
+def _average_ranks(df: DataFrame, c: str) -> DataFrame:
+    """(value, its average rank) of a column of counted values."""
+    g = df.groupBy(F.col(c).alias(f"__k{c}")).agg(F.sum("__c").alias("__m"))
+    return prefix_sums(g, [f"__k{c}"], {"__b": F.col("__m")}).select(f"__k{c}", (F.col("__b") + (F.col("__m") + 1) / 2).alias(f"__r{c}"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks."""
+    """Correlation of average ranks, over counted pairs of values."""
+    g = df.groupBy(a, b).agg(F.count("*").alias("__c"))
     for c in (a, b):
-        w, same = W.orderBy(c), W.partitionBy(c)
-        df = df.withColumn(f"__{c}", F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
-    return df.agg(F.corr(f"__{a}", f"__{b}").alias("rho"))
+        r = _average_ranks(g, c)
+        g = g.join(r, F.col(c).eqNullSafe(F.col(f"__k{c}")))
+    x, y, w = F.col(f"__r{a}"), F.col(f"__r{b}"), F.col("__c")
+    m = g.agg(F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    cov = lambda u, v, uv: F.col(uv) / F.col("n") - F.col(u) / F.col("n") * F.col(v) / F.col("n")
+    return m.select((cov("x", "y", "xy") / F.nullif(F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy")), F.lit(0.0))).alias("rho"))
+
+
+def _inversions(v: np.ndarray) -> int:
+    """Pairs that stand in the wrong order, by merging halves."""
+    if len(v) < 2:
+        return 0
+    h = len(v) // 2
+    return _inversions(v[:h]) + _inversions(v[h:]) + int((h - np.searchsorted(np.sort(v[:h]), v[h:], side="right")).sum())
 
 
 def kendall_tau(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """tau-b over the pairs of a ranking (rankings of models or features; small by nature)."""
-    y = df.select(F.col(key).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    p = df.join(y, F.col(key) < F.col("k2")).select(F.signum(F.col(a) - F.col("a2")).alias("x"), F.signum(F.col(b) - F.col("b2")).alias("y"))
-    return p.agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sqrt(F.sum(F.abs("x")) * F.sum(F.abs("y"))), F.lit(0.0))).alias("tau"))
+    """tau-b of two rankings of the same things (models, features, sources: small by nature, so they are read in one
+    task), in n log n steps."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"], kind="stable")
+        tied = lambda cols: sum(int(c) * (int(c) - 1) // 2 for c in pdf.groupby(cols).size())
+        n = len(pdf) * (len(pdf) - 1) // 2
+        ta, tb, both = tied(["a"]), tied(["b"]), tied(["a", "b"])
+        root = math.sqrt((n - ta) * (n - tb))
+        return pd.DataFrame({"tau": [(n - ta - tb + both - 2 * _inversions(pdf["b"].to_numpy())) / root if root else None]}, dtype="float64")
+
+    return df.select(key, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna().groupBy().applyInPandas(run, "tau double")
 
 
 def source_matrix(df: DataFrame, source: str, score: str, label: str) -> DataFrame:
-    """AUC on each source, on all others pooled, and the mean over the others."""
-    own = roc_auc(df, score, label, (source,))
-    s = df.select(source).distinct().where(F.col(source).isNotNull()).select(F.col(source).alias("held"))
-    pooled = roc_auc(df.join(F.broadcast(s), F.col(source) != F.col("held")), score, label, ("held",)).withColumnRenamed("auc", "others_pooled").withColumnRenamed("held", source)
-    o = own.select(F.col(source).alias("o"), F.col("auc").alias("a"))
-    mean = own.select(source).join(o, F.col(source) != F.col("o")).groupBy(source).agg(F.avg("a").alias("others_mean"))
-    return own.join(pooled, source).join(mean, source)
+    """AUC on each source, on all others pooled, and the mean over the others. The others are all sources less the one:
+    running sums over all and over the source's own scores are enough, and no row is repeated."""
+    g = by_score(df.where(F.col(source).isNotNull()), score, label, (source,))
+    al = g.groupBy("__s").agg(F.sum("p").alias("ap"), F.sum("n").alias("an"))
+    al = prefix_sums(al, ["__s"], {"apb": F.col("ap"), "anb": F.col("an")})
+    top = al.agg(F.sum("ap").alias("ap_all"), F.sum("an").alias("an_all"), F.sum(F.col("ap") * (F.col("anb") + F.col("an") / 2)).alias("a_all"))
+    own = prefix_sums(g, ["__s"], {"nb": F.col("n")}, [source])
+    x = own.join(al, "__s").crossJoin(F.broadcast(top))  # one row
+    per = x.groupBy(source).agg(
+        F.sum("p").alias("tp"), F.sum("n").alias("tn"), F.sum(F.col("p") * (F.col("nb") + F.col("n") / 2)).alias("aa"), *[F.first(c).alias(c) for c in ("ap_all", "an_all", "a_all")],
+        F.sum(F.col("p") * (F.col("anb") + F.col("an") / 2)).alias("pa"), F.sum(F.col("n") * (F.col("ap_all") - F.col("apb") - F.col("ap") / 2)).alias("na"),
+    )
+    auc = F.col("aa") / F.nullif(F.col("tp") * F.col("tn"), F.lit(0))
+    pooled = (F.col("a_all") - F.col("pa") - F.col("na") + F.col("aa")) / F.nullif((F.col("ap_all") - F.col("tp")) * (F.col("an_all") - F.col("tn")), F.lit(0))
+    per = per.select(source, auc.alias("auc"), pooled.alias("others_pooled"))
+    sums = per.agg(F.sum("auc").alias("__t"), F.count("auc").alias("__k"))
+    others = (F.col("__t") - F.coalesce("auc", F.lit(0.0))) / F.nullif(F.col("__k") - F.col("auc").isNotNull().cast("int"), F.lit(0))
+    return per.crossJoin(F.broadcast(sums)).select(source, "auc", "others_pooled", others.alias("others_mean"))  # one row

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltweir.operators.ordered import ranked
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Distinct on keys, keeping the first row by order. Partial aggregation before the shuffle, no window."""
@@ -33,15 +35,18 @@ def split_per_stratum(df: DataFrame, stratum: str, key: str, share: float, seed:
 
 
 def chunks(df: DataFrame, order: list[str], n: int, out: str = "chunk") -> DataFrame:
-    """n chunks of equal count; the first few get the extra rows."""
-    return df.withColumn(out, F.ntile(n).over(W.orderBy(*order)))
+    """n chunks of equal count; the first few get the extra rows. The order should end with a key."""
+    x = ranked(df, order, "__r").crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))  # one row
+    q, rest, r = F.floor(F.col("__n") / n), F.col("__n") % n, F.col("__r") - 1
+    early = rest * (q + 1)
+    return x.withColumn(out, F.when(r < early, F.floor(r / (q + 1))).otherwise(rest + F.floor((r - early) / F.nullif(q, F.lit(0)))).cast("int") + 1).drop("__r", "__n")
 
 
 def quantile_bins(df: DataFrame, by: str, key: str, q: int, out: str = "bin") -> DataFrame:
     """Bins of the rank: edges at even quantiles of 1..n, right-closed, the lowest included."""
-    n = F.count("*").over(W.partitionBy())
-    r = F.row_number().over(W.orderBy(by, key))
-    return df.withColumn(out, F.when(n == 1, 0).otherwise(F.greatest(F.ceil((r - 1) * q / F.nullif(n - 1, F.lit(0))) - 1, F.lit(0))).cast("int"))
+    x = ranked(df, [by, key], "__r").crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))  # one row
+    n, r = F.col("__n"), F.col("__r")
+    return x.withColumn(out, F.when(n == 1, 0).otherwise(F.greatest(F.ceil((r - 1) * q / F.nullif(n - 1, F.lit(0))) - 1, F.lit(0))).cast("int")).drop("__r", "__n")
 
 
 def merge_by_key(prior: DataFrame, new: DataFrame, key: str) -> DataFrame:

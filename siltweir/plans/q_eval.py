@@ -74,14 +74,26 @@ def rank_correlation(s, d):
 
 
 def ranking_agreement(s, d):
-    x = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("p"))
-    return E.kendall_tau(x, "l_suppkey", "q", "p").select(F.round("tau", 8).alias("tau"))
+    """Two rankings of the brands: by quantity and by revenue."""
+    x = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.sum("l_quantity").alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("p"))
+    return E.kendall_tau(x, "p_brand", "q", "p").select(F.round("tau", 8).alias("tau"))
 
 
 def bootstrap_interval(s, d):
     return E.bootstrap_auc(_scored(s, d).where("split = 'test'"), "score", "label", "row_id", 50)
 
 
+def bootstrap_difference(s, d):
+    """Whether a second score, by length alone, does worse on the same rows."""
+    x = _scored(s, d).where("split = 'test'").join(table(s, d, "run_b6_experiments").select("row_id", F.round(F.length("url") / 400, 4).alias("other")), "row_id")
+    return E.bootstrap_delta(x, "score", "other", "label", "row_id", 50).select(F.round("delta", 8).alias("delta"), "n_boot", "differs")
+
+
+def undated_rows(s, d):
+    """Rows that the temporal splits can't place."""
+    return _scored(s, d).groupBy("source").agg(F.count_if(F.col("ts").isNull()).alias("undated"), F.count("*").alias("n"))
+
+
 def gates(s, d):
     """OR gate, AND gate, gated escalation and abstention as share of rows they flag."""
     x = _scored(s, d).withColumn("novel", F.pmod("row_id", F.lit(100)) / 100.0)
@@ -98,7 +110,7 @@ def cascade_cost(s, d):
     return x.select("source", F.round("routed", 8).alias("routed"), F.round(1000 / ms, 4).alias("urls_per_s"))
 
 
-QUERIES = {f.__name__: f for f in (temporal_counts, temporal_disjoint, decay_curve, source_matrix, confusion_by_split, prevalence_report, wilson_buckets, roc_auc_exact, threshold_choice, coverage_risk, abstention_band, rank_correlation, ranking_agreement, bootstrap_interval, gates, cascade_cost)}
+QUERIES = {f.__name__: f for f in (temporal_counts, temporal_disjoint, decay_curve, source_matrix, confusion_by_split, prevalence_report, wilson_buckets, roc_auc_exact, threshold_choice, coverage_risk, abstention_band, rank_correlation, ranking_agreement, bootstrap_interval, bootstrap_difference, undated_rows, gates, cascade_cost)}
 
 _S = "sc AS (SELECT row_id, label, source, split, submission_time AS ts, round(least(1.0::DOUBLE, length(url) / 150::DOUBLE + (length(url) - length(regexp_replace(url, '[0-9]', '', 'g'))) / 60::DOUBLE), 4) AS score FROM run_b6_experiments)"
 _W = "tw AS (SELECT *, 0 AS window_months FROM sc WHERE ts <= TIMESTAMP '2024-01-01' UNION ALL SELECT sc.*, m FROM sc, (VALUES (1), (6), (12)) v(m) WHERE ts > TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-01' + to_months(m))"
@@ -126,13 +138,14 @@ SELECT source, n, errors, round(greatest((p + z * z / (2 * n)) / (1 + z * z / n)
 h AS (SELECT threshold, sum(p) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) / (sum(p) OVER ())::DOUBLE AS recall, sum(n) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) / (sum(n) OVER ())::DOUBLE AS fpr FROM g),
 i AS (SELECT *, 0.01::DOUBLE * recall / nullif(0.01::DOUBLE * recall + 0.99::DOUBLE * fpr, 0) AS precision FROM h WHERE recall >= 0.6)
 SELECT threshold, round(recall, 8) AS recall, round(fpr, 8) AS fpr, round(precision, 8) AS precision FROM i ORDER BY i.precision DESC, threshold LIMIT 1""",
-    "coverage_risk": f"""WITH {_S}, x AS (SELECT score AS s, label, h / 20::DOUBLE AS half_width FROM sc, range(9) r(h)), y AS (SELECT *, (s < 0.5::DOUBLE - half_width OR s > 0.5::DOUBLE + half_width OR (half_width = 0 AND s = 0.5)) AS said, CAST(s >= 0.5 AS INT) <> label AS wrong FROM x)
+    "coverage_risk": f"""WITH {_S}, x AS (SELECT score AS s, label, h / 20::DOUBLE AS half_width FROM sc, range(9) r(h)), y AS (SELECT *, (s < 0.5::DOUBLE - half_width OR s > 0.5::DOUBLE + half_width) AS said, CAST(s >= 0.5 AS INT) <> label AS wrong FROM x)
 SELECT half_width, round(count(*) FILTER (said) / count(*)::DOUBLE, 8) AS coverage, round(count(*) FILTER (said AND wrong) / nullif(count(*) FILTER (said), 0)::DOUBLE, 8) AS risk FROM y GROUP BY 1""",
     "abstention_band": f"""WITH {_S}, gr AS (SELECT unnest([0.3::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6::DOUBLE, 0.7::DOUBLE]) AS g), x AS (SELECT a.g AS lo, b.g AS hi, score AS s, label FROM sc, gr a, gr b WHERE a.g < b.g),
 r AS (SELECT lo, hi, count(*) FILTER (s < lo OR s > hi) / count(*)::DOUBLE AS coverage, count(*) FILTER ((s < lo OR s > hi) AND CAST(s > hi AS INT) <> label) / nullif(count(*) FILTER (s < lo OR s > hi), 0)::DOUBLE AS risk FROM x GROUP BY 1, 2)
 SELECT lo, hi, round(coverage, 8) AS coverage, round(risk, 8) AS risk FROM r WHERE r.coverage >= 0.5 ORDER BY r.risk, hi - lo DESC, lo LIMIT 1""",
     "rank_correlation": "SELECT round(corr(a, b), 8) AS rho FROM (SELECT rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS b FROM part)",
-    "ranking_agreement": "WITH x AS (SELECT l_suppkey AS k, sum(l_quantity) AS q, round(sum(l_extendedprice), 2) AS p FROM lineitem GROUP BY 1), y AS (SELECT sign(a.q - b.q)::DOUBLE AS u, sign(a.p - b.p)::DOUBLE AS v FROM x a JOIN x b ON a.k < b.k) SELECT round(sum(u * v) / nullif(sqrt(sum(abs(u)) * sum(abs(v))), 0), 8) AS tau FROM y",
+    "ranking_agreement": "WITH x AS (SELECT p_brand AS k, sum(l_quantity) AS q, round(sum(l_extendedprice), 2) AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), y AS (SELECT sign(a.q - b.q)::DOUBLE AS u, sign(a.p - b.p)::DOUBLE AS v FROM x a JOIN x b ON a.k < b.k) SELECT round(sum(u * v) / nullif(sqrt(sum(abs(u)) * sum(abs(v))), 0), 8) AS tau FROM y",
+    "undated_rows": "SELECT source, count(*) FILTER (submission_time IS NULL) AS undated, count(*) AS n FROM run_b6_experiments GROUP BY 1",
     "gates": f"WITH {_S}, x AS (SELECT label, score AS a, (row_id % 100) / 100::DOUBLE AS b FROM sc) SELECT label, count(*) FILTER (a >= 0.5 OR b >= 0.95) AS or_gate, count(*) FILTER (a >= 0.5 OR (b >= 0.9 AND a >= 0.3)) AS and_gate, count(*) FILTER (a >= 0.5 OR (a >= 0.15 AND b >= 0.95)) AS escalated, count(*) FILTER (a >= 0.4 AND a <= 0.6) AS abstained FROM x GROUP BY 1",
     "cascade_cost": f"WITH {_S}, x AS (SELECT source, avg(CAST(score >= 0.1 AS DOUBLE)) AS routed FROM sc GROUP BY 1) SELECT source, round(routed, 8) AS routed, round(1000 / ((18.07::DOUBLE + x.routed * 3414.0::DOUBLE) / 1000), 4) AS urls_per_s FROM x",
 }

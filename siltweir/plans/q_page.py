@@ -59,7 +59,6 @@ QUERIES = {f.__name__: f for f in (page_signals, page_titles, login_language, fi
 _LW = P.LOGIN_WORDS.replace("'", "''")
 _SUM = "round((coalesce(CAST(provider_takedown AS INT), 0) * 1.5::DOUBLE + coalesce(CAST(has_password AS INT), 0) * 1.2::DOUBLE + coalesce(CAST(dead_link_ratio >= 0.6 AS INT), 0) * 0.6::DOUBLE + coalesce(CAST(login_language AS INT), 0) * 0.8::DOUBLE - coalesce(CAST(parked AS INT), 0) * 0.6::DOUBLE), 10)"
 SQL = {
-    "page_titles": "SELECT fetch_id, trim(regexp_replace(regexp_extract(t, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM (SELECT fetch_id, decode(body) AS t FROM (SELECT * FROM fetch_results WHERE body IS NOT NULL AND content_type LIKE 'text/html%' AND try(decode(body)) IS NOT NULL))",
     "login_language": f"SELECT regexp_matches(coalesce(title, '') || ' ' || coalesce(text_excerpt, ''), '{_LW}') AS words, login_language, count(*) AS n FROM page_analysis GROUP BY 1, 2",
     "finding_score": f"WITH a AS (SELECT page_id, CAST(least(greatest(round_even(100 / (1 + exp(-(-1.4::DOUBLE + {_SUM}))), 0), 1), 99) AS INT) AS risk FROM page_analysis) SELECT page_id, risk, CASE WHEN risk >= 70 THEN 'phishing' WHEN risk >= 40 THEN 'suspicious' ELSE 'safe' END AS verdict FROM a",
     "severity_counts": "WITH a AS (SELECT round((value - 50) / 20, 2) AS w FROM events) SELECT CASE WHEN w <= -0.01 THEN 'good' WHEN w >= 3 THEN 'critical' WHEN w >= 1.5 THEN 'high' WHEN w >= 0.6 THEN 'medium' WHEN w >= 0.01 THEN 'low' ELSE 'info' END AS severity, count(*) AS n FROM a GROUP BY 1",

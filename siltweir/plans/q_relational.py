@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siltweir.operators import relational as R
+from siltweir.operators.ordered import ranked
 from siltweir.session import table as t
 
 
@@ -25,7 +26,8 @@ def inner_join_nation(s, d):
 
 
 def anti_join_customers(s, d):
-    return t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    big = t(s, d, "orders").where("o_totalprice > 200000")
+    return t(s, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
 def semi_join_suppliers(s, d):
@@ -55,7 +57,9 @@ def sources_per_domain(s, d):
 
 
 def rank_slice(s, d):
-    return t(s, d, "supplier").withColumn("rank", F.row_number().over(W.orderBy(F.desc("s_acctbal"), "s_suppkey"))).where("rank > 10 and rank <= 30").select("rank", "s_suppkey")
+    """Ranks 11 to 30: the best 30 are taken by partition first, only these are ranked."""
+    best = t(s, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(30)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("s_acctbal"), "s_suppkey"))).where("rank > 10").select("rank", "s_suppkey")
 
 
 def top_k_per_group(s, d):
@@ -82,14 +86,14 @@ def fill_and_days(s, d):
 
 
 def every_nth(s, d):
-    return t(s, d, "customer").withColumn("r", F.row_number().over(W.orderBy("c_custkey"))).where((F.col("r") - 1) % 7 == 0).select("c_custkey")
+    return ranked(t(s, d, "customer").select("c_custkey"), ["c_custkey"], "r").where((F.col("r") - 1) % 7 == 0).select("c_custkey")
 
 
 def interleave(s, d):
-    a = t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.lit("o").alias("kind"))
-    b = t(s, d, "events").select(F.col("event_id").alias("id"), "ts", F.lit("e").alias("kind"))
-    u = a.unionByName(b)
-    return u.groupBy("kind", F.date_trunc("month", F.coalesce("ts", F.lit("1970-01-01").cast("timestamp_ntz"))).cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
+    """Two streams of records as one, in order of time: each row with its place in the merged order."""
+    a = t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("at"), F.lit("c").alias("kind"))
+    b = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("at"), F.lit("s").alias("kind"))
+    return ranked(a.unionByName(b), ["at", "kind", "id"], "place").select("place", "kind", "id")
 
 
 def ordered_distinct_list(s, d):
@@ -160,7 +164,7 @@ SQL = {
     "filter_project": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_discount >= 0.05",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "inner_join_nation": "SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
-    "anti_join_customers": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_join_customers": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "semi_join_suppliers": "SELECT s_suppkey, s_nationkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 45)",
     "reserved_sets": "SELECT CASE WHEN p_size > 40 THEN 'a' WHEN p_size > 20 THEN 'b' ELSE 'c' END AS set, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1",
     "distinct_keep_first": "SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1",
@@ -173,7 +177,7 @@ SQL = {
     "pivot_status": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1",
     "fill_and_days": "SELECT row_id, coalesce(domain, '') AS domain, coalesce(CAST(floor((epoch_us(ingested_at) - epoch_us(submission_time)) / 86400000000) AS BIGINT), -1) AS days FROM run_b6_experiments",
     "every_nth": "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) WHERE (r - 1) % 7 = 0",
-    "interleave": "SELECT kind, CAST(date_trunc('month', coalesce(ts, TIMESTAMP '1970-01-01')) AS TIMESTAMP) AS month, count(*) AS n FROM (SELECT o_orderdate AS ts, 'o' AS kind FROM orders UNION ALL SELECT ts, 'e' FROM events) GROUP BY 1, 2",
+    "interleave": "SELECT row_number() OVER (ORDER BY ts, kind, id) AS place, kind, id FROM (SELECT c_acctbal AS ts, 'c' AS kind, c_custkey AS id FROM customer UNION ALL SELECT s_acctbal, 's', s_suppkey FROM supplier)",
     "ordered_distinct_list": "SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY f, l_returnflag) AS flags FROM (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "equal_chunks": "SELECT CAST(chunk AS INT) AS chunk, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, ntile(6) OVER (ORDER BY ts, event_id) AS chunk FROM events) GROUP BY 1",
     "rank_bins": "SELECT CAST(greatest(ceil((r - 1) * 4 / (n - 1)::DOUBLE) - 1, 0) AS INT) AS bin, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) AS r, count(*) OVER () AS n FROM part) GROUP BY 1",

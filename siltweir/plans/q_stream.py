@@ -16,8 +16,7 @@ def _stream(s, d):
 
 
 def _run(s, df, mode="append"):
-    name = "q" + uuid.uuid4().hex
-    return S.drain(df, name, f"{shared_dir(s)}/{name}", mode)
+    return S.drain(df, f"{shared_dir(s)}/stream-{uuid.uuid4().hex}", mode)
 
 
 def stream_drift(s, d):

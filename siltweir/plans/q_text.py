@@ -75,12 +75,11 @@ pairs AS (SELECT a, b, i / (na + nb - i) AS similarity FROM j WHERE i / (na + nb
 _ST = "list_transform(range(1, greatest(length({s}) - 4, 0)::BIGINT + 1), lambda i: {{'c': substr({s}, i, 4), 'x': substr({s}, i + 4, 1)}})"
 _MODEL = f"m AS (SELECT z.c AS context, z.x AS next, count(*) AS n FROM (SELECT unnest({_ST.format(s='t')}) AS z FROM (SELECT url || chr(10) AS t FROM src)) GROUP BY 1, 2), v AS (SELECT count(DISTINCT next) AS v FROM m), tt AS (SELECT context, sum(n) AS total FROM m GROUP BY 1)"
 _SURP = f"s AS (SELECT row_id, unnest({_ST.format(s='url')}) AS z FROM q), sp AS (SELECT row_id, avg(CASE WHEN total IS NULL THEN log2(v) ELSE -log2((coalesce(n, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * v)) END) AS b FROM s LEFT JOIN tt ON s.z.c = tt.context LEFT JOIN m ON s.z.c = m.context AND s.z.x = m.next, v GROUP BY 1)"
-_PLAIN = "NOT regexp_matches(url, '[^ -~]')"
 SQL = {
     "exact_dup_rates": "SELECT source, count(*) AS n, round(1 - count(DISTINCT url) / count(*)::DOUBLE, 8) AS exact_dup_rate FROM run_b6_experiments GROUP BY 1",
     "shingle_counts": f"SELECT row_id, CAST(len({_G.format(u='url')}) AS INT) AS shingles FROM run_b6_experiments",
-    "near_dup_pairs": f"WITH src AS (SELECT * FROM run_b6_experiments WHERE source = 'InboxRelay'), {_PAIRS} SELECT a, b, round(similarity, 8) AS similarity FROM pairs",
-    "markov_counts": f"WITH src AS (SELECT label, url || chr(10) AS t FROM run_b6_experiments WHERE {_PLAIN}), m AS (SELECT label, z.c AS c, z.x AS x, count(*) AS n FROM (SELECT label, unnest({_ST.format(s='t')}) AS z FROM src) GROUP BY 1, 2, 3) SELECT label, count(*) AS steps, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT c) AS contexts FROM m GROUP BY 1",
-    "char_surprisal": f"WITH src AS (SELECT url FROM run_b6_experiments WHERE {_PLAIN} AND label = 0), q AS (SELECT row_id, url FROM run_b6_experiments WHERE {_PLAIN} AND label = 1 AND split = 'test'), {_MODEL}, {_SURP} SELECT row_id, round(b, 6) AS surprisal FROM sp",
-    "surprisal_threshold": f"WITH src AS (SELECT url FROM run_b6_experiments WHERE {_PLAIN} AND label = 0 AND split = 'train'), q AS (SELECT row_id, url FROM run_b6_experiments WHERE {_PLAIN} AND label = 0 AND split = 'validation'), {_MODEL}, {_SURP} SELECT round(quantile_cont(b, 0.95), 6) AS threshold FROM sp",
+    "near_dup_pairs": f"WITH src AS (SELECT * FROM run_b6_experiments WHERE url IS NOT NULL), {_PAIRS} SELECT a, b, round(similarity, 8) AS similarity FROM pairs",
+    "markov_counts": f"WITH src AS (SELECT label, url || chr(10) AS t FROM run_b6_experiments), m AS (SELECT label, z.c AS c, z.x AS x, count(*) AS n FROM (SELECT label, unnest({_ST.format(s='t')}) AS z FROM src) GROUP BY 1, 2, 3) SELECT label, count(*) AS steps, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT c) AS contexts FROM m GROUP BY 1",
+    "char_surprisal": f"WITH src AS (SELECT url FROM run_b6_experiments WHERE label = 0), q AS (SELECT row_id, url FROM run_b6_experiments WHERE label = 1 AND split = 'test'), {_MODEL}, {_SURP} SELECT row_id, round(b, 6) AS surprisal FROM sp",
+    "surprisal_threshold": f"WITH src AS (SELECT url FROM run_b6_experiments WHERE label = 0 AND split = 'train'), q AS (SELECT row_id, url FROM run_b6_experiments WHERE label = 0 AND split = 'validation'), {_MODEL}, {_SURP} SELECT round(quantile_cont(b, 0.95), 6) AS threshold FROM sp",
 }

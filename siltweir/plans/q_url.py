@@ -20,9 +20,8 @@ def _icann(spark, sf):
 
 
 def _host(url):
-    """The host as it stands, in lower case; in an address with blanks or other than plain ASCII, as it is spelled."""
-    h = hosts.url_host(url)
-    return F.when(url.rlike(r"[^ -~]|\s"), hosts.spelled(h)).otherwise(F.lower(h))
+    """The host as it stands, in lower case."""
+    return F.lower(hosts.url_host(url))
 
 
 def url_lexical(spark, sf):
@@ -137,13 +136,13 @@ CASE WHEN len(words) > 0 THEN round(list_sum(list_transform(words, lambda t: len
 FROM x""",
     "url_registrable": rf"""
 WITH s AS (SELECT list(lower(suffix)) AS al, list(lower(suffix)) FILTER (section = 'icann') AS ic FROM public_suffix),
-a AS (SELECT row_id, regexp_replace(regexp_extract(trim(url), '{RE}', 2), '^.*@', '') AS hp FROM run_b6_experiments WHERE NOT regexp_matches(url, '[^ -~]|\s')),
+a AS (SELECT row_id, regexp_replace(regexp_extract(trim(url, ' '), '{RE}', 2), '^.*@', '') AS hp FROM run_b6_experiments),
 b AS (SELECT row_id, lower(regexp_replace(regexp_replace(hp, ':[^:\]]*$', ''), '^\[|\]$', '', 'g')) AS host FROM a),
 c AS (SELECT row_id, host, string_split(host, '.') AS l, regexp_matches(host, '\s|\.\.|:|^\d{{1,3}}(\.\d{{1,3}}){{3}}$') AS unfit, al, ic FROM b, s),
 d AS (SELECT *, coalesce(list_min(list_filter(range(1, len(l) + 1), lambda i: list_contains(al, array_to_string(l[i:], '.')))), len(l)) AS p, coalesce(list_min(list_filter(range(1, len(l) + 1), lambda i: list_contains(ic, array_to_string(l[i:], '.')))), len(l)) AS q FROM c)
 SELECT row_id, host, CASE WHEN NOT unfit AND p > 1 THEN array_to_string(l[p - 1:], '.') END AS registrable, CASE WHEN NOT unfit AND q > 1 THEN array_to_string(l[q - 1:], '.') END AS icann_domain FROM d""",
     "url_host_profile": rf"""
-WITH a AS (SELECT *, regexp_replace(regexp_extract(trim(url), '{RE}', 2), '^.*@', '') AS hp FROM run_b6_experiments WHERE NOT regexp_matches(url, '[^ -~]|\s'))
+WITH a AS (SELECT *, regexp_replace(regexp_extract(trim(url, ' '), '{RE}', 2), '^.*@', '') AS hp FROM run_b6_experiments)
 SELECT lower(regexp_replace(regexp_replace(hp, ':[^:\]]*$', ''), '^\[|\]$', '', 'g')) AS host, count(*) AS urls, round(avg(length(url)), 6) AS avg_length, CAST(sum(label) AS BIGINT) AS phishing, count(DISTINCT source) AS sources FROM a GROUP BY 1""",
     "url_has_path": rf"SELECT source, trim(regexp_extract(url, '{RE}', 3), '/') <> '' AS has_path, count(*) AS n FROM run_b6_experiments GROUP BY ALL",
     "url_feed_key": "SELECT lower(rtrim(regexp_replace(url, '^ +| +$', '', 'g'), '/')) AS feed_key, count(*) AS n FROM run_b6_experiments GROUP BY 1 HAVING count(*) > 1",

@@ -56,11 +56,17 @@ def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour",
     return stream.withWatermark(ts, lateness).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there into a table in memory; for tests and bounded inputs."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into a table under the folder, written by the executors; complete results replace
+    each other."""
+    path, spark = f"{folder}/out", stream.sparkSession
+    w = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").outputMode("append").start(path)
+    else:
+        q = w.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def each_batch(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None]) -> None:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from siltweir.functions import hosts, lexical as L, tokens as K, transforms as X
+from siltweir.functions import hosts, hosts as H, lexical as L, tokens as K, transforms as X
 
 SUFFIXES = ["com", "org", "net", "co.uk", "uk", "tk", "io", "ly", "com.example", "example", "webs.top.test", "test"]
 
@@ -61,8 +61,20 @@ def test_lexical_null_and_empty(spark):
 def test_fuzzy_brand(spark):
     hits = {"paypa1": True, "arnaz0n": True, "goog2e": True, "paypal": False, "apple": False, "sbin": False, "abc": False}
     df = spark.createDataFrame([(k,) for k in hits], "l string")
-    got = {r.l: r.h for r in df.withColumn("s", L.skeleton(F.col("l"))).select("l", L.fuzzy_brand(F.col("l"), F.col("s"), F.lit("")).alias("h")).collect()}
+    got = {r.l: bool(r.h) for r in df.select("l", L.fuzzy_brands(F.array("l"), F.lit("")).alias("h")).collect()}
     assert got == hits
+    # the forms lose nothing against all brands one by one
+    lev = lambda a, b: spark.range(1).select(F.levenshtein(F.lit(a), F.lit(b))).first()[0]
+    for w in ("bankofamrica", "wellsfarg0", "unionbnak", "rnicrosoft", "clropbox"):
+        far = {b for b in K.BRANDS_EXTENDED if b not in K.ACRONYMS and abs(len(b) - len(w)) <= 2 and lev(w, b) <= (1 if len(b) <= 8 else 2)}
+        assert far <= set(L.near_brands(w)) and L.near_brands(w)
+
+
+def test_long_suffix_list(spark):
+    listed = [f"s{i}.test" for i in range(10_000)] + ["test", "co.uk"]
+    hosts = {"a.b.s77.test": "b.s77.test", "s77.test": None, "x.test": "x.test", "www.a.co.uk": "a.co.uk", "co.uk": None, "a.b.other": "b.other", "one": None, "1.2.3.4": None, "a..test": None, "a.test.": None}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r.h: r.d for r in df.select("h", H.registrable(F.col("h"), listed).alias("d")).collect()} == hosts
 
 
 def test_transforms(spark):

@@ -139,7 +139,7 @@ def test_streams(spark, tmp_path):
     rows = [("c", float(t)) for t in (0, 1, 2, 3, 70, 71)]
     spark.createDataFrame(rows, "c string, t double").write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("c string, t double").parquet(str(tmp_path / "in"))
-    out = state.drain(state.rate_limited(s, "c", "t", 3, 60.0), "rl", str(tmp_path / "cp")).orderBy("at").collect()
+    out = state.drain(state.rate_limited(s, "c", "t", 3, 60.0), str(tmp_path / "cp")).orderBy("at").collect()
     assert [r.allowed for r in out] == [True, True, True, False, True, True]
 
 
