@@ -143,13 +143,17 @@ class FMIndex:
         doc_of = np.cumsum(codes == 0) - (codes == 0)
         return cls((alphabet.points, alphabet.all), codes[sa - 1], doc_of[sa].astype(np.int32))
 
+    def width(self) -> int:
+        """Bytes of the largest text number; three as long as there are less than 16.7 million texts."""
+        return 3 if not len(self.doc) or int(self.doc.max()) < 1 << 24 else 4
+
     def dump(self) -> bytes:
-        """BWT at six bits and the text numbers at three bytes a place."""
+        """BWT at six bits and the text numbers at as many bytes a place as they need."""
         out = io.BytesIO()
         pad = np.zeros((self.n // 64 + 1) * 64, np.uint8)
         pad[: self.n] = self.bwt
         planes = np.stack([np.packbits((pad >> j) & 1, bitorder="little") for j in range(6)])
-        np.savez(out, top=self.alphabet.points, all=self.alphabet.all, n=np.array([self.n]), planes=planes, doc=np.stack([(self.doc >> s).astype(np.uint8) for s in (0, 8, 16)]))
+        np.savez(out, top=self.alphabet.points, all=self.alphabet.all, n=np.array([self.n]), planes=planes, doc=np.stack([(self.doc >> s).astype(np.uint8) for s in range(0, 8 * self.width(), 8)]))
         return out.getvalue()
 
     @classmethod
@@ -160,7 +164,10 @@ class FMIndex:
         for j in range(6):
             bwt |= np.unpackbits(planes[j], bitorder="little") << j
         d = z["doc"]
-        return cls((z["top"], z["all"]), bwt[:n], d[0].astype(np.int32) | d[1].astype(np.int32) << 8 | d[2].astype(np.int32) << 16)
+        doc = np.zeros(d.shape[1], np.int32)
+        for i, plane in enumerate(d):
+            doc |= plane.astype(np.int32) << (8 * i)
+        return cls((z["top"], z["all"]), bwt[:n], doc)
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of code c among the first i places of the BWT."""

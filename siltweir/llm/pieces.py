@@ -30,7 +30,9 @@ BOUNDARY = re.compile(rb"\n[ \t\r]*\n\s*|\n|(?:[.!?\xe2\x80\xa6]+[\"')\]]*|[.!?]
 BLANK = re.compile(rb"[ \t]+|\xe3\x80\x80|\xe3\x80\x81|\xef\xbc\x8c")
 #: Words of one- and two-byte letters; three- and four-byte characters one by one.
 WORD = re.compile(rb"(?:[A-Za-z0-9]|[\xc3-\xdf][\x80-\xbf])+|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-DIM, SIDE = 256, 4
+SIDE = 4
+#: A piece is filled at least this far where a boundary allows; the deepest valley beyond is cut.
+LEAST_FILL = 0.5
 #: Added to the depth of a valley at a line or paragraph end.
 LINE, PARAGRAPH = 0.15, 0.4
 
@@ -42,10 +44,12 @@ def _depths(window: bytes, ends: list[int]) -> np.ndarray:
     at, dim = [], []
     for m in WORD.finditer(window):
         at.append(m.start())
-        dim.append(crc32(m.group().lower()) & (DIM - 1))
+        dim.append(crc32(m.group().lower()))
     rows = np.searchsorted(marks, np.array(at, dtype=np.int64), side="right")
-    counts = np.bincount(rows * DIM + np.array(dim, dtype=np.int64), minlength=(k + 1) * DIM).reshape(k + 1, DIM).astype(np.float32)
-    total = np.zeros((k + 2, DIM), np.float32)
+    words, ids = np.unique(np.array(dim, dtype=np.int64), return_inverse=True)  # each word of the window is a dimension
+    n = max(len(words), 1)
+    counts = np.bincount(rows * n + ids, minlength=(k + 1) * n).reshape(k + 1, n).astype(np.float32)
+    total = np.zeros((k + 2, n), np.float32)
     np.cumsum(counts, axis=0, out=total[1:])
     i = np.arange(1, k + 1)
     before = total[i] - total[np.maximum(i - SIDE, 0)]
@@ -69,7 +73,7 @@ def _cut(b: bytes, start: int, least: int, limit: int) -> int:
     window = b[start : min(len(b), stop + 2048)]
     found = [(m.end(), m.group()) for m in BOUNDARY.finditer(window)]
     ends = [e for e, _ in found if e < len(window)]
-    for low in (max(least, start + limit // 2), least):
+    for low in (max(least, start + int(limit * LEAST_FILL)), least):
         ok = [j for j, e in enumerate(ends) if low < start + e <= stop]
         if ok:
             depth = _depths(window, ends)

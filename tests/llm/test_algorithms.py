@@ -169,6 +169,8 @@ def test_overlap_against_brute_force(spark, shard_chars):
     ev = [i for i, (u, s) in enumerate(urls) if s in ("test", "validation") and u is not None]
     want = {(min(i, j), max(i, j)) for i in tr for j in ev if len(sh[i] & sh[j]) * 5 >= len(sh[i] | sh[j]) * 4}
     assert got == want and len(want) > 300
+    if shard_chars == 600:
+        assert {(r.row_id_a, r.row_id_b) for r in overlap.expand(overlap.cross_split(df, exact=True)[0], a, b, "row_id").collect()} == want
 
 
 def test_overlap_of_nothing(spark):

@@ -218,6 +218,14 @@ def test_mixing(spark):
     assert abs(used["big"] / total - 0.6) < 0.002 and abs(used["small"] / total - 0.2) < 0.002 and used["tiny"] == 30
     assert max(r.copies for r in m if r.source == "small") <= 4 and max(r.copies for r in m if r.source == "big") == 1
     assert sorted(M.mix(d, t).collect()) == sorted(m)
+    # of two kinds of documents the longer ones are drawn more often, as their inclusion says
+    two = docs(spark, [("s", "x" * (100 if i % 2 else 300), None) for i in range(400)])
+    half = spark.createDataFrame([("s", 0.4, 1)], "source string, target_share double, max_repeats int")
+    drawn = [r for seed in range(4) for r in M.mix(two, half, seed).collect()]
+    for size in (100, 300):
+        of = [r for r in drawn if r.size == size]
+        assert abs(sum(r.copies for r in of) / len(of) - of[0].inclusion) < 0.06
+    assert abs({r.size: r.inclusion for r in drawn}[300] / {r.size: r.inclusion for r in drawn}[100] - 3) < 1e-6
     sh = {r.source: r for r in M.shares(d, t).collect()}
     assert sh["none"].documents == 0 and abs(sum(r.reached_share for r in sh.values()) - 1) < 1e-9
     assert M.mix(d.limit(0), t).count() == 0 and M.allocation(d, t.limit(0)).count() == 0
