@@ -101,7 +101,7 @@ def build_shards(texts: DataFrame, folder: str, shard_chars: int) -> list[dict]:
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        pq.write_table(pa.Table.from_pandas(pdf[["h1", "h2", "text"]], preserve_index=False), p + ".texts", filesystem=f)
+        pq.write_table(pa.Table.from_pandas(pdf[["h1", "h2", "text"]].assign(n=s), preserve_index=False), p + ".texts", filesystem=f)
         return pd.DataFrame({"path": [path], "least": [min(s)], "most": [max(s)], "texts": [len(s)]})
 
     out = shards.groupBy("shard").applyInPandas(index, "path string, least long, most long, texts long")
@@ -110,7 +110,7 @@ def build_shards(texts: DataFrame, folder: str, shard_chars: int) -> list[dict]:
 
 #: Shards that a Python worker keeps for its next task, newest last, and their bytes in all.
 _KEPT: dict[str, tuple[FMIndex, pd.DataFrame]] = {}
-KEEP_BYTES = 150_000_000
+KEEP_BYTES = 200_000_000
 
 
 def _load(path: str) -> tuple[FMIndex, pd.DataFrame]:
@@ -131,14 +131,16 @@ def _read(path: str) -> tuple[FMIndex, pd.DataFrame]:
     return FMIndex.load(blob), pq.read_table(p + ".texts", filesystem=f).to_pandas()
 
 
-def _candidates(ix: FMIndex, texts: list[str], s: np.ndarray, t: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(training number, evaluation number) of pairs that share enough factors."""
+def _candidates(ix: FMIndex, texts: list[str], s: np.ndarray, t: float, k: int, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(training number, evaluation number) of pairs that share enough factors. With the partner's number of substrings
+    the bound is tighter: of s and m at least t (s + m) / (1 + t) are in common, the rest is in one text only."""
     points = code_points(texts)
     codes = ix.alphabet.codes(points)
     end = np.flatnonzero(points == 0)
     start = np.concatenate([[0], end[:-1] + 1]).astype(np.int64)
     n = end - start
-    bound = np.floor(s * (1 - t) / t + 1e-9).astype(np.int64) + np.maximum(n - k + 1 - s, 0)
+    again = np.maximum(n - k + 1 - s, 0)
+    bound = np.floor(s * (1 - t) / t + 1e-9).astype(np.int64) + again
     broken = 1 + np.maximum(bound - 1, 0) // 4
     todo, most = np.flatnonzero(n > 0), 8
     while len(todo):
@@ -162,7 +164,13 @@ def _candidates(ix: FMIndex, texts: list[str], s: np.ndarray, t: float, k: int)
             hits = np.diff(np.append(first, len(each)))
             who_, doc_ = np.divmod(each[first], width)
             keep = hits >= need[who_]
-            yield todo[who_[keep]], doc_[keep]
+            who_, doc_, hits = who_[keep], doc_[keep], hits[keep]
+            i = todo[who_]
+            a_, b_ = s[i], sizes[doc_]
+            common = t / (1 + t) * (a_ + b_)
+            most_ = np.floor(a_ + b_ - 2 * common + 1e-9).astype(np.int64) + again[i]
+            keep = (np.minimum(a_, b_) >= common - 1e-9) & (hits >= np.maximum(got[who_] - 1 - np.maximum(most_ - 1, 0) // 4, 1))
+            yield i[keep], doc_[keep]
         todo, most = todo[~enough], most * 8
 
 
@@ -197,14 +205,14 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
                 if not len(fit):
                     continue
                 ix, there = _load(sh["path"])
-                th1, th2, tt = there["h1"].to_numpy(), there["h2"].to_numpy(), there["text"].tolist()
+                th1, th2, tt, size = there["h1"].to_numpy(), there["h2"].to_numpy(), there["text"].tolist(), there["n"].to_numpy()
                 other: dict[int, set[str]] = {}
                 own: dict[int, set[str]] = {}
                 texts = pdf["text"].tolist()
                 for x in range(0, len(fit), CHUNK):
                     part = fit[x : x + CHUNK]
                     rows = []
-                    for a, b in _candidates(ix, [texts[i] for i in part], s[part], threshold, k):
+                    for a, b in _candidates(ix, [texts[i] for i in part], s[part], threshold, k, size):
                         for i, j in zip(part[a].tolist(), b.tolist()):
                             y = other.get(j)
                             if y is None:
@@ -254,8 +262,7 @@ def cross_split(df: DataFrame, text: str = "url", split: str = "split", key: str
     rows = _rows(df, text, split, key)
     a, b = rows.where(F.col("split") == train), rows.where(F.col("split").isin(*evaluation))
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # shards hold texts of about one length, so tasks of texts of about one length meet few of them
-    ta = distinct_texts(a).repartitionByRange(parts, F.length("text"), "h1")
+    ta = distinct_texts(a).repartition(parts, "h1")
     pairs = near_texts(ta, distinct_texts(b), **how)
     return pairs, a.drop("text"), b.drop("text")
 
