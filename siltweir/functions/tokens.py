@@ -27,3 +27,8 @@ EVASION_BRANDS = ("paypal", "apple", "amazon", "microsoft", "google", "netflix")
 EVASION_SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "is.gd", "ow.ly")
 EVASION_LABELS = ("secure", "login", "account", "my", "portal", "www", "auth", "session")
 EVASION_TLDS = {"com": ("co", "cm", "com.co", "cm.com"), "org": ("0rg", "org.com"), "net": ("ne.t", "net.co")}
+#: Letters of other scripts, and wide ones, that look like an ASCII one.
+CONFUSABLE_FROM = "аеорсхуіјѕһԁԛԝАВЕКМНОРСТУХІЈЅαορυνικτΑΒΕΖΗΙΚΜΝΟΡΤΥΧօսո" + "".join(chr(0xFF01 + i) for i in range(94))
+CONFUSABLE_TO = "aeopcxyijshdqwABEKMHOPCTYXIJSaopuviktABEZHIKMNOPTYXoun" + "".join(chr(0x21 + i) for i in range(94))
+#: Columns that come from lookups or rankings, not from the address.
+LOOKED_UP = ("domain_age_days", "whois_registration_date", "whois_expiry_date", "whois_registrar_country", "dns_a_record_count", "dns_mx_record_present", "dns_ns_record_count", "ssl_certificate_present", "ssl_certificate_issuer", "ssl_certificate_age_days", "shortener_expanded_target", "hosting_asn", "hosting_country", "tranco_rank", "alexa_rank", "pagerank_score", "search_engine_indexed")

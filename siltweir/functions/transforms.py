@@ -40,6 +40,11 @@ def repair(df: DataFrame, raw: str, out: str = "repaired", error: str = "error")
     return x.drop(*[c for c in x.columns if c.startswith("__")])
 
 
+def plain_letters(text: Column) -> Column:
+    """Letters that look like an ASCII one give way to it; other characters stay."""
+    return F.translate(text, K.CONFUSABLE_FROM, K.CONFUSABLE_TO)
+
+
 def feed_key(url: Column) -> Column:
     return F.lower(F.rtrim(F.trim(url), F.lit("/")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltweir.functions.transforms import plain_letters
 from siltweir.session import spread, staged, unstage
 
 
@@ -67,3 +68,28 @@ def leakage_rate(pairs: DataFrame, df: DataFrame, key: str, split: str, train: s
     hit = x.where((F.col("sa") == train) & (F.col("sb") == test)).select(F.col("b").alias("k")).union(x.where((F.col("sb") == train) & (F.col("sa") == test)).select(F.col("a").alias("k"))).distinct()
     n = s.where(F.col("s") == test)
     return n.join(hit.withColumn("hit", F.lit(1)), "k", "left").agg(F.count("*").alias("n"), F.count("hit").alias("leaked")).withColumn("rate", F.coalesce(F.col("leaked") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)))
+
+
+def dedup_frame(df: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = 4) -> DataFrame:
+    """df without the rows whose text is equal or that similar to a kept one before it (by key). Columns stay; rows without
+    a text stay."""
+    first = df.where(F.col(text).isNotNull()).groupBy(F.lower(text).alias("__t")).agg(F.min(key).alias("__k"))
+    one = first.select(F.col("__k").alias(key))
+    keep = greedy_keep(one, key, near_pairs(df, key, text, threshold, k)).where("kept").select(key)
+    return df.join(keep, key, "left_semi").unionByName(df.where(F.col(text).isNull()))
+
+
+def cleaned(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """Training rows: near duplicates dropped first, then look-alike letters of the kept texts given as ASCII."""
+    return dedup_frame(df, key, text, threshold).withColumn(text, plain_letters(F.col(text)))
+
+
+def before_and_after(df: DataFrame, key: str, text: str, metric, threshold: float = 0.8) -> DataFrame:
+    """(stage, n, metric) of the frame as it is and without near duplicates; `metric` maps a frame to one row with one
+    column."""
+    out = None
+    for stage, x in (("before", df), ("after", dedup_frame(df, key, text, threshold))):
+        m = metric(x)
+        r = x.agg(F.count("*").alias("n")).crossJoin(m.select(F.col(m.columns[0]).cast("double").alias("metric"))).select(F.lit(stage).alias("stage"), "n", "metric")  # one row each
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -235,3 +235,43 @@ def source_matrix(df: DataFrame, source: str, score: str, label: str) -> DataFra
     sums = per.agg(F.sum("auc").alias("__t"), F.count("auc").alias("__k"))
     others = (F.col("__t") - F.coalesce("auc", F.lit(0.0))) / F.nullif(F.col("__k") - F.col("auc").isNotNull().cast("int"), F.lit(0))
     return per.crossJoin(F.broadcast(sums)).select(source, "auc", "others_pooled", others.alias("others_mean"))  # one row
+
+
+def recall_under_transforms(df: DataFrame, url: str, label: str, key: str, score, transforms: dict, threshold: float = 0.5) -> DataFrame:
+    """(transform, recall, delta) over the harmful rows: as they are, and with each transform applied to their address.
+    `score` maps a Column of addresses to scores. One pass: the variants of a row are one array."""
+    bad = df.where(F.col(label) == 1)
+    forms = {"none": F.col(url)} | {n: f(F.col(url), F.col(key)) for n, f in transforms.items()}
+    x = bad.select(F.explode(F.array(*[F.struct(F.lit(n).alias("transform"), c.alias("u")) for n, c in forms.items()])).alias("v")).select("v.transform", "v.u")
+    r = x.groupBy("transform").agg((F.count_if(score(F.col("u")) >= threshold) / F.count("*")).alias("recall"))
+    base = r.where("transform = 'none'").select(F.col("recall").alias("__b"))
+    return r.crossJoin(F.broadcast(base)).select("transform", "recall", (F.col("recall") - F.col("__b")).alias("delta"))  # one row
+
+
+def separated(cells: DataFrame, model: str, train: str, lo: str, hi: str, inside: str) -> DataFrame:
+    """Cells outside their distribution whose interval doesn't overlap that of the cell inside, for each model and
+    training source."""
+    home = cells.where(F.col(inside)).select(model, train, F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
+    return cells.where(~F.col(inside)).join(home, [model, train]).where((F.col(hi) < F.col("__lo")) | (F.col(lo) > F.col("__hi"))).drop("__lo", "__hi")
+
+
+def operating_points(df: DataFrame, score: str, label: str, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold, recall, fpr, n). Rows are counted by score before they meet the thresholds."""
+    g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s"), F.col(label).alias("y")).agg(F.count("*").alias("c"))
+    x = g.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    hit = F.col("s") >= F.col("threshold")
+    return x.groupBy("threshold").agg((of(hit & (F.col("y") == 1)) / F.nullif(of(F.col("y") == 1), F.lit(0))).alias("recall"), (of(hit & (F.col("y") == 0)) / F.nullif(of(F.col("y") == 0), F.lit(0))).alias("fpr"), F.sum("c").alias("n"))
+
+
+def share_sample(df: DataFrame, flag: Column, key: str, share: float, n: int) -> DataFrame:
+    """n rows of which exactly round(share n) have the flag: the smallest hashes of each side."""
+    want = round(share * n)
+    h = F.pmod(F.col(key) * 1103515245 + 12345, F.lit(2147483647))
+    return df.where(flag).orderBy(h, key).limit(want).unionByName(df.where(~flag).orderBy(h, key).limit(n - want))
+
+
+def accepted(verdict: Column, expected: Column) -> Column:
+    """Whether a verdict meets what is expected: ALLOW (safe or trusted), DENY (not), or the verdict itself."""
+    good = verdict.isin("safe", "trusted", "legitimate")
+    return F.when(expected == "ALLOW", good).when(expected == "DENY", ~good).otherwise(verdict == expected)

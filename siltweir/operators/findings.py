@@ -32,3 +32,15 @@ def combine(findings: DataFrame, key: str, weight: str, confirmed: str | None =
     x = x.withColumn("risk", risk)
     evidence = F.when(F.col("sure") | (F.col("n") >= 3), "strong").when(F.col("n") >= 1, "moderate").otherwise("limited")
     return x.select(key, "risk", F.when(F.col("risk") >= 70, "phishing").when(F.col("risk") >= 40, "suspicious").otherwise("safe").alias("verdict"), "n", evidence.alias("evidence"))
+
+
+#: Order of severities in a report.
+RANKS = ("critical", "high", "medium", "low", "info", "good")
+
+
+def ordered(findings: DataFrame, key: str, weight: str, place: str, out: str = "position") -> DataFrame:
+    """findings with their place in the report of each key: by severity, then by size of the weight, then as they came."""
+    from pyspark.sql import Window as W
+
+    rank = F.array_position(F.array(*[F.lit(r) for r in RANKS]), severity(F.col(weight)))
+    return findings.withColumn(out, F.row_number().over(W.partitionBy(key).orderBy(rank, F.desc(F.abs(F.col(weight))), place)))

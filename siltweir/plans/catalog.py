@@ -4,17 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_url", "q_relational", "q_eval", "q_text", "q_drift", "q_page", "q_models", "q_stream")
+MODULES = ("q_url", "q_relational", "q_eval", "q_text", "q_drift", "q_page", "q_models", "q_stream", "q_more")
 
 
 def _all(name: str) -> dict:
     out: dict = {}
     for m in MODULES:
-        try:
-            out |= getattr(importlib.import_module(f"siltweir.plans.{m}"), name, {})
-        except ModuleNotFoundError as e:
-            if e.name != f"siltweir.plans.{m}":
-                raise
+        out |= getattr(importlib.import_module(f"siltweir.plans.{m}"), name, {})
     return out
 
 

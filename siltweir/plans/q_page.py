@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltweir.functions import hosts
+from siltweir.functions.decode import body_text
 from siltweir.operators import findings as G
 from siltweir.operators import page as P
 from siltweir.session import table
 
 
 def _pages(s, d):
-    """All fetches with a body; the parser tells whether it is a page. Bytes that aren't UTF-8 become U+FFFD."""
+    """All fetches with a body, read in the charset that its type names; the parser tells whether it is a page."""
     x = table(s, d, "fetch_results").where("body is not null")
-    x = x.select("fetch_id", F.make_valid_utf8(F.col("body").cast("string")).alias("html"), F.coalesce("final_url", "requested_url").alias("url"), "content_type")
+    x = x.select("fetch_id", body_text(F.col("body"), F.col("content_type")).alias("html"), F.coalesce("final_url", "requested_url").alias("url"), "content_type")
     return P.parse(x, "fetch_id", "html", "url", "content_type", hosts.suffix_list(table(s, d, "public_suffix")))
 
 

@@ -49,15 +49,39 @@ def write_word_list(df: DataFrame, path: str) -> None:
     df.select(F.col(df.columns[0]).cast("string")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """One row of counts and settings as JSON, beside the list it describes."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_in_batches(stream: DataFrame, path: str, checkpoint: str, files_a_batch: int = 20) -> None:
+    """Append what is new since the last run; a run that is broken off goes on where it stopped."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def write_results(df: DataFrame, path: str, key: str) -> None:
-    """Rows of keys that are in df replace those written before; others stay."""
+    """Rows of keys that are in df replace those written before; others stay. Each write is a folder of its own, and a
+    pointer file names the newest whole one, so a run that is broken off loses nothing."""
     spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    f = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not f.exists(p):
-        df.write.parquet(path)
-        return
-    side = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
-    merge_by_key(spark.read.parquet(path), df, key).write.mode("overwrite").parquet(str(side))
-    f.delete(p, True)
-    f.rename(side, p)
+    old = read_results(spark, path)
+    import uuid
+
+    name = f"v-{uuid.uuid4().hex}"
+    (merge_by_key(old, df, key) if old is not None else df).write.parquet(f"{path}/{name}")
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    f = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = f.create(P(f"{path}/_current"), True)
+    out.writeBytes(name)
+    out.close()
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole table that write_results left, or None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.parquet(f"{path}/{spark.read.text(str(p)).first()[0]}")

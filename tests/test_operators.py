@@ -132,7 +132,7 @@ def test_sources(spark, tmp_path):
     assert loaders.word_list(spark, d + "/none.gz").count() == 0
     for rows in ([("m1", 1), ("m2", 2)], [("m2", 3)]):
         loaders.write_results(spark.createDataFrame(rows, "model string, v int"), d + "/out", "model")
-    assert sorted((r.model, r.v) for r in spark.read.parquet(d + "/out").collect()) == [("m1", 1), ("m2", 3)]
+    assert sorted((r.model, r.v) for r in loaders.read_results(spark, d + "/out").collect()) == [("m1", 1), ("m2", 3)]
 
 
 def test_streams(spark, tmp_path):
@@ -174,8 +174,8 @@ def test_odd_addresses_take_part(spark, tmp_path):
 
 def test_odd_bodies_take_part(spark, tmp_path):
     page = "<html><title>{}</title></html>"
-    rows = [(1, page.format("A").encode(), "text/html"), (2, page.format("caf\xe9").encode("latin-1"), "text/html"), (3, page.format("C").encode(), None), (4, page.format("D").encode(), "text/plain"), (5, b"%PDF", "application/pdf"), (6, None, "text/html")]
+    rows = [(1, page.format("A").encode(), "text/html"), (2, page.format("caf\xe9").encode("latin-1"), "text/html; charset=ISO-8859-1"), (7, page.format("caf\xe9").encode("latin-1"), "text/html; charset=nonsense"), (3, page.format("C").encode(), None), (4, page.format("D").encode(), "text/plain"), (5, b"%PDF", "application/pdf"), (6, None, "text/html")]
     spark.createDataFrame([(k, b, "http://a.test/", None, c) for k, b, c in rows], "fetch_id long, body binary, requested_url string, final_url string, content_type string").write.parquet(f"{tmp_path}/fetch_results.parquet")
     spark.createDataFrame([("test", "icann")], "suffix string, section string").write.parquet(f"{tmp_path}/public_suffix.parquet")
-    assert {r.fetch_id: r.title for r in q_page.page_titles(spark, str(tmp_path)).collect()} == {1: "A", 2: "caf\ufffd", 3: "C", 4: "D"}
-    assert {r.page_key: r.is_html for r in q_page.page_signals(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False}
+    assert {r.fetch_id: r.title for r in q_page.page_titles(spark, str(tmp_path)).collect()} == {1: "A", 2: "caf\xe9", 3: "C", 4: "D", 7: "caf\ufffd"}
+    assert {r.page_key: r.is_html for r in q_page.page_signals(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 7: True}
