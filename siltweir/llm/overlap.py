@@ -44,9 +44,8 @@ def shingles(text: str, k: int = 4) -> set[str]:
     return {text[i : i + k] for i in range(len(text) - k + 1)} if len(text) >= k else {text}
 
 
-def distinct_counts(texts: list[str], k: int = 4) -> np.ndarray:
-    """Number of distinct k-character substrings of each text; 1 for a text shorter than k. Substrings are told apart by
-    40 bits of a hash, so a count may be short by one in about a billion texts; what is reported is counted exactly."""
+def _grams(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number of the text, hash) of every k-character substring, and the number of texts."""
     points = code_points(texts).astype(np.uint64)
     end = np.flatnonzero(points == 0)
     who = np.repeat(np.arange(len(end)), np.diff(end, prepend=-1))
@@ -56,8 +55,38 @@ def distinct_counts(texts: list[str], k: int = 4) -> np.ndarray:
         h = (h ^ points[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     whole = end[who[:n]] - np.arange(n) >= k
-    key = (who[:n][whole].astype(np.uint64) << np.uint64(40)) | (h[whole] >> np.uint64(24))
-    return np.maximum(np.bincount((_distinct(key) >> np.uint64(40)).astype(np.int64), minlength=len(end)), 1)
+    return who[:n][whole], h[whole], len(end)
+
+
+def distinct_counts(texts: list[str], k: int = 4) -> np.ndarray:
+    """Number of distinct k-character substrings of each text; 1 for a text shorter than k. Substrings are told apart by
+    40 bits of a hash, so a count may be short by one in about a billion texts; what is reported is counted exactly."""
+    who, h, n = _grams(texts, k)
+    key = (who.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+    return np.maximum(np.bincount((_distinct(key) >> np.uint64(40)).astype(np.int64), minlength=n), 1)
+
+
+#: Bits that stand for the substrings of a text.
+BITS = 256
+
+
+def bitmaps(texts: list[str], k: int = 4) -> np.ndarray:
+    """One bit of BITS for each substring of a text, as rows of words. A bit that the partner lacks is a substring that it
+    lacks."""
+    out = []
+    for at in range(0, len(texts), 20_000):
+        who, h, n = _grams(texts[at : at + 20_000], k)
+        m = np.zeros((n, BITS), bool)
+        m[who, (h >> np.uint64(40)).astype(np.int64) % BITS] = True
+        out.append(np.packbits(m, axis=1).view(np.uint64))
+    return np.concatenate(out) if out else np.zeros((0, BITS // 64), np.uint64)
+
+
+def _may_share(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether texts of a and b substrings with these bitmaps can have so many in common."""
+    lack = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+    lack2 = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+    return (a - lack >= common - 1e-9) & (b - lack2 >= common - 1e-9)
 
 
 def _distinct(a: np.ndarray) -> np.ndarray:
@@ -101,7 +130,7 @@ def build_shards(texts: DataFrame, folder: str, shard_chars: int) -> list[dict]:
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        pq.write_table(pa.Table.from_pandas(pdf[["h1", "h2", "text"]].assign(n=s), preserve_index=False), p + ".texts", filesystem=f)
+        pq.write_table(pa.Table.from_pandas(pdf[["h1", "h2", "text"]].assign(n=s, bits=[r.tobytes() for r in bitmaps(texts_)]), preserve_index=False), p + ".texts", filesystem=f)
         return pd.DataFrame({"path": [path], "least": [min(s)], "most": [max(s)], "texts": [len(s)]})
 
     out = shards.groupBy("shard").applyInPandas(index, "path string, least long, most long, texts long")
@@ -131,16 +160,14 @@ def _read(path: str) -> tuple[FMIndex, pd.DataFrame]:
     return FMIndex.load(blob), pq.read_table(p + ".texts", filesystem=f).to_pandas()
 
 
-def _candidates(ix: FMIndex, texts: list[str], s: np.ndarray, t: float, k: int, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(training number, evaluation number) of pairs that share enough factors. With the partner's number of substrings
-    the bound is tighter: of s and m at least t (s + m) / (1 + t) are in common, the rest is in one text only."""
+def _candidates(ix: FMIndex, texts: list[str], s: np.ndarray, t: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(training number, evaluation number) of pairs that share enough factors."""
     points = code_points(texts)
     codes = ix.alphabet.codes(points)
     end = np.flatnonzero(points == 0)
     start = np.concatenate([[0], end[:-1] + 1]).astype(np.int64)
     n = end - start
-    again = np.maximum(n - k + 1 - s, 0)
-    bound = np.floor(s * (1 - t) / t + 1e-9).astype(np.int64) + again
+    bound = np.floor(s * (1 - t) / t + 1e-9).astype(np.int64) + np.maximum(n - k + 1 - s, 0)
     broken = 1 + np.maximum(bound - 1, 0) // 4
     todo, most = np.flatnonzero(n > 0), 8
     while len(todo):
@@ -164,13 +191,7 @@ def _candidates(ix: FMIndex, texts: list[str], s: np.ndarray, t: float, k: int,
             hits = np.diff(np.append(first, len(each)))
             who_, doc_ = np.divmod(each[first], width)
             keep = hits >= need[who_]
-            who_, doc_, hits = who_[keep], doc_[keep], hits[keep]
-            i = todo[who_]
-            a_, b_ = s[i], sizes[doc_]
-            common = t / (1 + t) * (a_ + b_)
-            most_ = np.floor(a_ + b_ - 2 * common + 1e-9).astype(np.int64) + again[i]
-            keep = (np.minimum(a_, b_) >= common - 1e-9) & (hits >= np.maximum(got[who_] - 1 - np.maximum(most_ - 1, 0) // 4, 1))
-            yield i[keep], doc_[keep]
+            yield todo[who_[keep]], doc_[keep]
         todo, most = todo[~enough], most * 8
 
 
@@ -199,12 +220,13 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            s = distinct_counts(pdf["text"].tolist(), k)
+            s, own_bits = distinct_counts(pdf["text"].tolist(), k), bitmaps(pdf["text"].tolist(), k)
             for sh in sorted(shards, key=lambda x: x["path"] not in _KEPT):
                 fit = np.flatnonzero((s * threshold <= sh["most"] + 1e-9) & (sh["least"] * threshold <= s + 1e-9))
                 if not len(fit):
                     continue
                 ix, there = _load(sh["path"])
+                bits = np.frombuffer(b"".join(there["bits"]), np.uint64).reshape(-1, BITS // 64)
                 th1, th2, tt, size = there["h1"].to_numpy(), there["h2"].to_numpy(), there["text"].tolist(), there["n"].to_numpy()
                 other: dict[int, set[str]] = {}
                 own: dict[int, set[str]] = {}
@@ -212,8 +234,10 @@ def near_texts(train: DataFrame, evaluation: DataFrame, threshold: float = 0.8,
                 for x in range(0, len(fit), CHUNK):
                     part = fit[x : x + CHUNK]
                     rows = []
-                    for a, b in _candidates(ix, [texts[i] for i in part], s[part], threshold, k, size):
-                        for i, j in zip(part[a].tolist(), b.tolist()):
+                    for a, b in _candidates(ix, [texts[i] for i in part], s[part], threshold, k):
+                        u, v = s[part[a]], size[b]
+                        may = _may_share(own_bits[part[a]], bits[b], u, v, threshold / (1 + threshold) * (u + v))
+                        for i, j in zip(part[a[may]].tolist(), b[may].tolist()):
                             y = other.get(j)
                             if y is None:
                                 if len(other) > 20_000:
