@@ -85,22 +85,24 @@ def listed_suffix(host: Column, suffixes: list[str]) -> Column:
     return F.coalesce(*[F.when(t.isin(*by_labels[n]), t) for n, t in zip(sorted(by_labels, reverse=True), tails)], F.when(host.isNotNull(), F.lit("")))
 
 
-def registrable(host: Column, suffixes: list[str], suffix: Column | None = None) -> Column:
+def registrable(host: Column, suffixes: list[str]) -> Column:
     """Registrable domain of a spelled host: longest listed suffix plus one label. NULL for addresses, hosts that are
-    a suffix, single labels and hosts with blanks. Under no listed suffix the last label counts as one. `suffix` is the
-    column of listed_suffix() where there is one already."""
-    s = listed_suffix(host, suffixes) if suffix is None else suffix
-    dots = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
-    one_more = F.call_function("substring_index", host, F.lit("."), -(F.when(s == "", 0).otherwise(dots) + 2))
-    unfit = host.rlike(r"\s|\.\.|:|^\.|\.$|^\d{1,3}(\.\d{1,3}){3}$") | (host == s) | ~F.contains(host, F.lit("."))
-    return F.when(~unfit, one_more)
+    a suffix, single labels and hosts with blanks. Under no listed suffix the last label counts as one."""
+
+    def known(v: Column) -> Column:
+        h, s = v["h"], v["s"]
+        dots = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
+        unfit = h.rlike(r"\s|\.\.|:|^\.|\.$|^\d{1,3}(\.\d{1,3}){3}$") | (h == s) | ~F.contains(h, F.lit("."))
+        return F.when(~unfit, F.call_function("substring_index", h, F.lit("."), -(F.when(s == "", 0).otherwise(dots) + 2)))
+
+    # host and suffix are bound to names, so that each is computed once and not wherever it is read
+    bound = F.transform(F.array(host), lambda h: F.struct(h.alias("h"), listed_suffix(h, suffixes).alias("s")))
+    return F.get(F.transform(bound, known), F.lit(0))
 
 
 def with_entity(df: DataFrame, domain: str, url: str, out: str, suffixes: list[str]) -> DataFrame:
     """df with the registrable domain that `domain` names, or that `url` names where `domain` names none."""
     x = df.withColumn("__d", spelled(F.col(domain)))
-    x = x.withColumn("__ds", listed_suffix(F.col("__d"), suffixes))
-    x = x.withColumn("__e", F.when(~F.col("__d").isin(*PLACEHOLDERS), registrable(F.col("__d"), suffixes, F.col("__ds"))))
+    x = x.withColumn("__e", F.when(~F.col("__d").isin(*PLACEHOLDERS), registrable(F.col("__d"), suffixes)))
     x = x.withColumn("__u", spelled(F.when(F.col("__e").isNull(), url_host(F.col(url)))))
-    x = x.withColumn("__us", listed_suffix(F.col("__u"), suffixes))
-    return x.withColumn(out, F.coalesce("__e", registrable(F.col("__u"), suffixes, F.col("__us")))).drop("__d", "__ds", "__e", "__u", "__us")
+    return x.withColumn(out, F.coalesce("__e", registrable(F.col("__u"), suffixes))).drop("__d", "__e", "__u")

@@ -29,17 +29,16 @@ def domain_owners(s, d):
     """Owner: the source that lists a domain most; hosts below it belong to it, too."""
     x = table(s, d, "run_axis_s").where("domain is not null and source is not null").groupBy(F.lower("domain").alias("domain"), "source").agg(F.count("*").alias("n"))
     owned = x.groupBy("domain").agg(F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("owner"))
-    hosts = _urls(s, d).select("row_id", F.lower(U.url_host(F.col("url"))).alias("host")).where("host <> ''")
+    hosts = table(s, d, "run_axis_s").select("row_id", F.lower(U.url_host(F.col("url"))).alias("host")).where("host <> ''")
     return U.owners(hosts, "host", owned).groupBy("owner").agg(F.count("*").alias("n"))
 
 
 def fetch_targets(s, d):
-    x = table(s, d, "fetch_results")
-    return x.groupBy(U.target_error(F.col("requested_url")).alias("error")).agg(F.count("*").alias("n"))
+    return _urls(s, d).groupBy(U.target_error(F.col("url")).alias("error")).agg(F.count("*").alias("n"))
 
 
 def finding_order(s, d):
-    x = table(s, d, "events").select("user_id", "event_id", F.round((F.col("value") - 50) / 20, 2).alias("weight"))
+    x = table(s, d, "events").select("user_id", "event_id", ((F.col("value") - 50) / 20).alias("weight"))
     return G.ordered(x, "user_id", "weight", "event_id").select("user_id", "event_id", "position")
 
 
@@ -126,7 +125,7 @@ SQL = {
     "threat_lookup": f"""WITH f AS (SELECT DISTINCT {_KEY} AS k FROM run_b6_experiments WHERE split = 'train' AND label = 1), g AS (SELECT DISTINCT {_HOST} AS h FROM run_b6_experiments WHERE split = 'train' AND label = 0),
 h AS (SELECT DISTINCT {_HOST} AS h FROM run_b6_experiments WHERE split = 'train' AND label = 1 EXCEPT SELECT h FROM g)
 SELECT row_id, CASE WHEN {_KEY} IN (SELECT k FROM f) THEN 'address' WHEN {_HOST} <> '' AND {_HOST} IN (SELECT h FROM h WHERE h <> '') THEN 'host' END AS threat FROM run_b6_experiments WHERE split = 'test'""",
-    "finding_order": f"WITH a AS (SELECT user_id, event_id, round((value - 50) / 20, 2) AS w FROM events) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {_SEV}, abs(w) DESC, event_id) AS INT) AS position FROM a",
+    "finding_order": f"WITH a AS (SELECT user_id, event_id, (value - 50) / 20 AS w FROM events) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {_SEV}, abs(w) DESC, event_id) AS INT) AS position FROM a",
     "operating_points": "WITH a AS (SELECT label, round(least(1.0::DOUBLE, length(url) / 150::DOUBLE), 4) AS s FROM run_b6_experiments WHERE url IS NOT NULL) SELECT t AS threshold, round(count(*) FILTER (s >= t AND label = 1) / (count(*) FILTER (label = 1))::DOUBLE, 8) AS recall, round(count(*) FILTER (s >= t AND label = 0) / (count(*) FILTER (label = 0))::DOUBLE, 8) AS fpr, count(*) AS n FROM a, (VALUES (0.4::DOUBLE), (0.7::DOUBLE)) v(t) GROUP BY 1",
     "path_sensitivity": f"WITH a AS (SELECT source, round(least(1.0::DOUBLE, length(url) / 150::DOUBLE), 4) AS x, round(least(1.0::DOUBLE, length({_BARE}) / 150::DOUBLE), 4) AS y FROM run_b6_experiments) SELECT source, round(avg(x), 6) AS whole, round(avg(y), 6) AS bare, count(*) FILTER (x >= 0.5) AS over, count(*) FILTER (y >= 0.5) AS bare_over FROM a GROUP BY 1",
     "path_matched": r"""WITH a AS (SELECT row_id, regexp_matches(url, '^[a-z]+://[^/?#]+/[^?#]') AS path, (row_id * 1103515245 + 12345) % 2147483647 AS h FROM run_b6_experiments WHERE label = 1 AND url IS NOT NULL),
