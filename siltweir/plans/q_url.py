@@ -41,6 +41,14 @@ def url_registrable(spark, sf):
     return x.select("row_id", "host", hosts.registrable(F.col("host"), s).alias("registrable"), hosts.registrable(F.col("host"), _icann(spark, sf)).alias("icann_domain"))
 
 
+def url_spelled_hosts(spark, sf):
+    """Hosts in one spelling (percent and punycode decoded, wide and invisible characters undone), their registrable domain
+    and how many addresses name them, over all rows."""
+    s = hosts.suffix_list(table(spark, sf, "public_suffix"))
+    h = hosts.spelled(hosts.url_host(F.col("url")))
+    return _urls(spark, sf).groupBy(h.alias("host")).agg(F.count("*").alias("urls")).select("host", "urls", hosts.registrable(F.col("host"), s).alias("registrable"))
+
+
 def url_host_profile(spark, sf):
     return _urls(spark, sf).groupBy(_host(F.col("url")).alias("host")).agg(F.count("*").alias("urls"), F.round(F.avg(F.length("url")), 6).alias("avg_length"), F.sum("label").alias("phishing"), F.countDistinct("source").alias("sources"))
 
@@ -80,7 +88,7 @@ def provenance_columns(spark, sf):
     return spark.createDataFrame([(f, "later" if f in L.LATER else "first") for f in L.FEATURES], "feature string, class string").groupBy("class").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (url_lexical, url_fuzzy, url_registrable, url_host_profile, url_repair, url_has_path, url_feed_key, evasion_structural, evasion_characters, base64_key, provenance_columns)}
+QUERIES = {f.__name__: f for f in (url_lexical, url_fuzzy, url_registrable, url_spelled_hosts, url_host_profile, url_repair, url_has_path, url_feed_key, evasion_structural, evasion_characters, base64_key, provenance_columns)}
 
 
 def _cnt(c: str, col: str = "url") -> str:

@@ -74,14 +74,14 @@ def write_results(df: DataFrame, path: str, key: str) -> None:
     (merge_by_key(old, df, key) if old is not None else df).write.parquet(f"{path}/{name}")
     P = spark._jvm.org.apache.hadoop.fs.Path
     f = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = f.create(P(f"{path}/_current"), True)
+    out = f.create(P(f"{path}/current.txt"), True)
     out.writeBytes(name)
     out.close()
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest whole table that write_results left, or None."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
     return spark.read.parquet(f"{path}/{spark.read.text(str(p)).first()[0]}")

@@ -163,9 +163,12 @@ def test_odd_addresses_take_part(spark, tmp_path):
     rows = [(1, "https://a.example.com/x", "A", "train", 0), (2, "https://a.ｅxample。com/y", "B", "validation", 0), (3, "https://ex\u00adample.com/é", "A", "test", 1), (4, "https://пример.com/", "B", "test", 1), (5, None, "A", "test", 1)]
     d = _experiments(spark, tmp_path, rows)
     spark.createDataFrame([("com", "icann")], "suffix string, section string").write.parquet(f"{d}/public_suffix.parquet")
-    got = {r.row_id: (r.host, r.registrable) for r in q_url.url_registrable(spark, d).collect()}
-    assert got == {1: ("a.example.com", "example.com"), 2: ("a.example.com", "example.com"), 3: ("example.com", "example.com"), 4: ("пример.com", "пример.com"), 5: (None, None)}
-    assert {r.host: r.urls for r in q_url.url_host_profile(spark, d).collect()} == {"a.example.com": 2, "example.com": 1, "пример.com": 1, None: 1}
+    got = {r.host: (r.urls, r.registrable) for r in q_url.url_spelled_hosts(spark, d).collect()}
+    assert got == {"a.example.com": (2, "example.com"), "example.com": (1, "example.com"), "пример.com": (1, "пример.com"), None: (1, None)}
+    # the raw hosts, as SQL reads them, of all rows
+    raw = {r.row_id: r.host for r in q_url.url_registrable(spark, d).collect()}
+    assert raw == {1: "a.example.com", 2: "a.ｅxample。com", 3: "ex\u00adample.com", 4: "пример.com", 5: None}
+    assert sum(r.urls for r in q_url.url_host_profile(spark, d).collect()) == 5
     steps = {0: sum(len(u) - 3 for _, u, *_, y in rows if u and y == 0), 1: sum(len(u) - 3 for _, u, *_, y in rows if u and y == 1)}
     assert {r.label: r.n for r in q_text.markov_counts(spark, d).collect()} == steps
     assert {r.row_id for r in q_text.char_surprisal(spark, d).collect()} == {3, 4}
