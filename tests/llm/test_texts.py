@@ -108,6 +108,29 @@ def test_charset_chains():
     assert j("text/html; charset=utf-8", part)[2] == WORDS[1] + "\n" + WORDS[1]
 
 
+def test_charset_growth_has_no_limit():
+    m = clean_model()
+    j = lambda ct, b: C.judge(m, C.LEAST_MARGIN, ct, b, False)
+    for stage in ("cp1252", "latin-1"):
+        for w in WORDS[:2]:
+            t = w
+            for _ in range(6):  # more often than was undone before
+                t = "".join(C._SLOPPY[stage].chars[b] for b in t.encode())
+            assert j("text/html; charset=utf-8", t.encode())[2] == w
+    # the same as from every text that can be read again from the declared one, scored without bounds
+    for w in WORDS[:5]:
+        t = w.encode().decode("cp1252", "ignore").encode().decode("mac_roman") + " " + w.encode().decode("cp437")
+        met, todo = {t}, [t]
+        while todo:
+            x = todo.pop()
+            for r in {C._runs(x, s) for s in C._SLOPPY.values()} - met:
+                met.add(r)
+                todo.append(r)
+        most = max(m.score(x) for x in met - {t})
+        assert C.likeliest(m, t.encode(), t, C.segments(t), False, m.score(t) + C.LEAST_MARGIN)[0] >= most - 1e-6
+        assert all(m.bound(x, -1e9) >= m.score(x) - 1e-6 for x in met)
+
+
 def test_charset_edges():
     m = clean_model()
     j = lambda ct, b, tr=False: C.judge(m, C.LEAST_MARGIN, ct, b, tr)[0]
