@@ -3,7 +3,8 @@
 The body of each page is cut out by the body operator and its message is masked: numbers, addresses, dates and long
 tokens give way to marks. Masked messages are grouped by exact hash across sources (sites). A message that recurs on
 many of them is classified as a group: by the phrase rules of most of its pages, else by what most of their titles or
-their `parked` flags say, whatever the language; the class holds for all its pages. A message that doesn't recur is
+their `parked` flags say, whatever the language; the class holds for all its pages. Every page with a body takes part,
+with prose of its own or not. A message that doesn't recur is
 classified by the phrase rules alone. Unfilled placeholders and filler are looked for anywhere in title and text; a
 sentence that speaks of a placeholder, and quoted text, are none.
 
@@ -25,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltweir.llm.body import CUES, PROSE, U, Page, body_of, codes, compact, default_cues, learned, menu_units, pages_of, read_page
-from siltweir.llm.body import I as LINK
+from siltweir.llm.body import CUES, U, Page, body_of, codes, compact, default_cues, learned, menu_units, pages_of, read_page
 from siltweir.llm.gate import Rules, alternatives, beginnings
 from siltweir.llm.phrases import ERROR, PARKED, SCRIPT, unquoted
 from siltweir.session import staged, table, unstage
@@ -99,6 +99,8 @@ def placeholder(line: str) -> bool:
 
 
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
+#: A sentence that begins with a digit, as codes of errors do, which have no literal.
+_CODE = re.compile(r"(?:^|[.!?。]\s+)\d")
 _FILL, _NOTE = ("any",), ("script", "parked", "error")
 #: Filler at the start of a sentence, by what a sentence must begin with.
 _STARTS = {x: [] for part in alternatives(_FILLER.pattern) for x in beginnings(part)}
@@ -160,15 +162,18 @@ def _kept(kind: str, f, line: str):
     return got
 
 
+_URL, _HOST = re.compile(r"(?:https?://|www\.)\S+|/[\w./-]{4,}"), re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,})\b")
+_DATE = re.compile(r"\d(?:\d{3}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?z?)?|\d?[./]\d{1,2}[./]\d{2,4})")
+_DIGIT, _NUMBER = re.compile(r"\d"), re.compile(r"\b(?=\w*\d)(?=\w*[a-z])\w{4,}\b|\d+(?:[.,]\d+)*")
+
+
 def mask(text: str) -> str:
     """Numbers, dates, addresses, hosts and mixed tokens give way to marks; case and blanks are folded."""
-    t = text.casefold()
-    t = re.sub(r"(?:https?://|www\.)\S+|/[\w./-]{4,}", "<u>", t)
-    t = re.sub(r"\b[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,})\b", "<h>", t)
-    t = re.sub(r"\d{4}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?z?)?|\d{1,2}[./]\d{1,2}[./]\d{2,4}", "<d>", t)
-    t = re.sub(r"'[^']*'", "<q>", t)
-    t = re.sub(r"\b(?=\w*\d)(?=\w*[a-z])\w{4,}\b|\d+(?:[.,]\d+)*", "<n>", t)
-    return re.sub(r"\s+", " ", t).strip()
+    # marks that hold no blank are set word by word, in words that may hold what they stand for
+    t = " ".join([_HOST.sub("<h>", _URL.sub("<u>", w)) if "." in w or "/" in w else w for w in text.casefold().split(" ")])
+    t = re.sub(r"'[^']*'", "<q>", _DATE.sub("<d>", t))
+    t = " ".join([w if w.isalpha() or not _DIGIT.search(w) else _NUMBER.sub("<n>", w) for w in t.split(" ")])
+    return " ".join(t.split())
 
 
 def notice(line: str, tried: set[int] | None = None) -> str | None:
@@ -189,6 +194,8 @@ def notice(line: str, tried: set[int] | None = None) -> str | None:
 
 def _opening(line: str, tried: set[int]) -> tuple[str | None, int]:
     """(class of the first notice-worded sentence or None, characters of such sentences, negative if not the first)."""
+    if not tried and not _CODE.search(line):
+        return None, 0
     first, size = None, 0
     for i, x in enumerate(_SENTENCE.split(line)):
         k = notice(x, tried)
@@ -203,7 +210,7 @@ def _opening(line: str, tried: set[int]) -> tuple[str | None, int]:
 
 def message_of(title: str | None, text: str | None, known: dict[int, int] | None = None, page: Page | None = None) -> tuple[str | None, str | None, str | None, int | None, str]:
     """(residue class, notice class, class of the title, hash of the masked message, the message); no message where the
-    page has prose of its own."""
+    page has no body."""
     known = menu_units(CUES) if known is None else known
     if page is None:
         page = read_page(text, title, default_cues())
@@ -226,25 +233,11 @@ def message_of(title: str | None, text: str | None, known: dict[int, int] | None
             residue = "filler"
     named = _kept("n", notice, title) if title else None
     code = codes(page, [known.get(u, U) for u in page.unit], [known.get(u, U) for u in page.item])
-    # paragraphs without a word of notices that make up nearly all that can be body
-    most = sum(n for n, c in zip(page.size, code) if c < LINK)
-    sure = sum(n for i, n, f, c in zip(page.no, page.size, page.flag, code) if f & PROSE and c < LINK and not (i - 1 in hits and hits[i - 1] & _IDS["note"]))
-    if sure > (1 - OPENING) * most:
-        return residue, None, named, None, ""
     body = [page.no[i] for i in body_of(page, code)] if page.no else []
     if not body:
         return residue, named, named, None, ""
     inside = set(body)
     lines = [(parts[n - 1].strip(), f, hits.get(n - 1, _NOTHING) & _IDS["note"]) for n, f in zip(page.no, page.flag) if n in inside]
-    # paragraphs that aren't worded as a notice are a body of its own; those without any of its words come first
-    size, clear = sum(len(x) for x, _, _ in lines), 0
-    for x, _, may in sorted(lines, key=lambda v: (len(v[2]) > 0, -len(v[0]))):
-        if clear > (1 - OPENING) * size:
-            break
-        if len(x) > LABEL and not notice(x, may):
-            clear += len(x)
-    if clear > (1 - OPENING) * size and any(f & PROSE for _, f, _ in lines):
-        return residue, None, named, None, ""
     kind, worded, rest, opens = None, 0, 0, None
     head = (title or "").strip()
     for x, _, may in lines:
@@ -262,21 +255,22 @@ def message_of(title: str | None, text: str | None, known: dict[int, int] | None
     return residue, found, named, xxhash.xxh3_64_intdigest(message.encode("utf-8", "surrogatepass")) - (1 << 63), message
 
 
-def classified(pages: DataFrame) -> DataFrame:
-    """page_id, residue, notice, message, h, sources (on how many sources the message recurs), class, found."""
+def classified(pages: DataFrame, messages: bool = True) -> DataFrame:
+    """page_id, residue, notice, message (if wanted), h, sources (on how many sources the message recurs), class, found."""
     lines = compact(pages, "page_id", "text_excerpt", "title", "url", keep=("parked",))
     known = menu_units(CUES) | learned(lines)
+    names = ["residue", "notice", "named", "h", "message"][: 5 if messages else 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             title, text = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("title", "text"))
             rows = [message_of(h, t, known, p) for h, t, p in zip(title, text, pages_of(batch))]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())[: len(names)]
             out = list(zip(*rows)) if rows else [()] * 5
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(batch.schema.get_field_index("parked")), *[pa.array(v, t) for v, t in zip(out, kinds)]], ["page_id", "host", "parked", "residue", "notice", "named", "h", "message"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(batch.schema.get_field_index("parked")), *[pa.array(v, t) for v, t in zip(out, kinds)]], ["page_id", "host", "parked", *names])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    x = staged(lines.withColumn("parked", F.coalesce("parked", F.lit(False))).mapInArrow(run, f"page_id {kind}, host long, parked boolean, residue string, notice string, named string, h long, message string"), "messages")
+    x = staged(lines.withColumn("parked", F.coalesce("parked", F.lit(False))).mapInArrow(run, f"page_id {kind}, host long, parked boolean, residue string, notice string, named string, h long" + ", message string" * messages), "messages")
     unstage(lines)
     return x.join(groups(x), "h", "left").withColumn("sources", F.coalesce("sources", F.lit(0))).withColumn("class", F.when(F.col("sources") >= WIDE, F.col("group_class")).otherwise(F.col("notice"))).withColumn("found", F.col("residue").isNotNull() | F.col("class").isNotNull())
 
@@ -294,11 +288,11 @@ def groups(x: DataFrame) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(table(spark, sf_dir, "page_analysis")).where("found").select("page_id").distinct()
+    return classified(table(spark, sf_dir, "page_analysis"), messages=False).where("found").select("page_id").distinct()
 
 
 def p6_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages without prose of their own that recur widely, with their class, pages and sources."""
+    """Messages that recur widely, with their class (NULL if they are no notices), pages and sources."""
     x = classified(table(spark, sf_dir, "page_analysis")).where((F.col("sources") >= WIDE) & (F.col("message") != ""))
     return x.groupBy("message").agg(F.max("class").alias("class"), F.max("residue").alias("residue"), F.count("*").alias("pages"), F.max("sources").alias("sources"), F.avg(F.col("parked").cast("int")).alias("parked_share"))
 

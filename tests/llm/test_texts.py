@@ -181,6 +181,23 @@ def test_residue_operator(spark):
     assert R.classified(df.limit(0)).count() == 0
 
 
+def test_messages_of_prose_recur(spark):
+    """A page with prose of its own takes part in the grouping, too: a notice in words that no rule knows, as long as an
+    article, is found by the titles or flags of the sites that show it; an article that recurs without them isn't."""
+    strange = "Tę nazwę zgłoszono niedawno i nic tu jeszcze nie ma, a kto chce ją mieć, niech napisze do nas z podaniem oferty. " * 4
+    assert R.message_of(None, PARA, LABELS)[3] is not None
+    rows = [(i, f"http://a{i}.test/", None, f"{strange}\n\n{strange}Nr {i}.", i > 0) for i in range(5)] + [(10 + i, f"http://b{i}.test/", "T", PARA, None) for i in range(5)] + [(20, "http://c.test/", None, strange + "Inna.", True)]
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, text_excerpt string, parked boolean")
+    x = {r.page_id: r for r in R.classified(df).collect()}
+    assert all(x[i].found and x[i].sources == 5 and x[i]["class"] == "parked" for i in range(5))
+    assert all(x[10 + i].sources == 5 and not x[10 + i].found for i in range(5)) and not x[20].found
+
+
+def test_masks_word_by_word():
+    for text, want in [("See http://a.b/c  and\tx.com/path9 on 2024-01-02 10:30 or 1.2.2024", "see <u> and <h><u> on <d> or <d>"), ("It's 'a b' 12.5abc ab12cd v1.2abc 7,5.", "it<q>a b' <n>abc <n> v<n>abc <n>.")]:
+        assert R.mask(text) == want
+
+
 def test_rules_lose_nothing():
     """Alternatives tried by their literals match what the whole patterns match."""
     for name, p in (("error", R.ERROR), ("parked", R.PARKED), ("script", R.SCRIPT)):
