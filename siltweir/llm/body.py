@@ -65,7 +65,7 @@ CODE = {k: i for i, k in enumerate(KINDS)}
 SOLID, PROSE, LIST, TITLE, AGAIN, SENTENCE, WORD, TITLED, NAME, LEX = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512
 
 _NAMES = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*(?: [A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*)+")
-_DIGITS, _BLANKS = re.compile(r"\d+"), re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _SEP = re.compile(r"\s*[|·›»•]\s*|\s{2,}|\s[>/]\s")
 _STOP = re.compile(r"[.!?。…]['\"”’»)]?(?:\s|$)")
 _DATA = re.compile(r"^(?:[•\-*–]\s|\d+[.)]\s)|[:：]\s*[\d.,]+\s*\S*$")
@@ -89,11 +89,11 @@ def menu_units(cues: dict[str, tuple[str, ...]]) -> dict[int, int]:
 
 
 def _norm(s: str) -> str:
-    return _DIGITS.sub("0", _BLANKS.sub(" ", s).strip().casefold())
+    return _DIGITS.sub("0", _plain(s))
 
 
 def _plain(s: str) -> str:
-    return _BLANKS.sub(" ", s).strip().casefold()
+    return " ".join(s.split()).casefold()
 
 
 def _hash(s: str) -> int:
@@ -128,11 +128,19 @@ class Page:
 _MEMO: dict[str, tuple] = {}
 
 
+def _parts(t: str) -> list[str]:
+    """The items of a separator list; the line itself if it is none."""
+    # blanks other than the space aren't printable
+    if t.isprintable() and not ("|" in t or "·" in t or "›" in t or "»" in t or "•" in t or "  " in t or " / " in t or " > " in t):
+        return [t]
+    return [x for x in _SEP.split(t) if x]
+
+
 def _line(t: str) -> tuple:
     n = len(t)
     stop = _STOP.search(t) is not None
     prose = n >= LONG or (n >= PARAGRAPH and stop)
-    parts = [] if prose else [x for x in _SEP.split(t) if x]
+    parts = [] if prose else _parts(t)
     flag = PROSE | SOLID if prose else 0
     if stop:
         flag |= SENTENCE | SOLID
@@ -194,13 +202,14 @@ def read_page(text: str | None, title: str | None, cues: ahocorasick.Automaton |
         kind = [0] * len(starts)
         most = [0] * len(starts)
         low = text.lower()
+        quotes = any(c in low for c in "“«„\"")
         if len(low) == len(text):  # lower-casing keeps places for all but a few letters
             for end, (k, n) in cues.iter(low):
                 i = bisect_right(starts, end) - 1
                 if end + 1 < len(low) and low[end + 1].isalnum() or end >= n and low[end - n].isalnum():
                     continue
-                before = low[starts[i] : end - n + 1]
-                if before.rfind("“") > before.rfind("”") or before.rfind("«") > before.rfind("»") or before.rfind("„") > before.rfind("“") or before.count('"') % 2:
+                before = low[starts[i] : end - n + 1] if quotes else ""
+                if before and (before.rfind("“") > before.rfind("”") or before.rfind("«") > before.rfind("»") or before.rfind("„") > before.rfind("“") or before.count('"') % 2):
                     continue  # a text may quote a notice without being one
                 cover[i] += n
                 if n > most[i]:
@@ -208,7 +217,7 @@ def read_page(text: str | None, title: str | None, cues: ahocorasick.Automaton |
             for i, c in enumerate(cover):
                 if c and c >= CUE_SHARE * out.size[i]:
                     out.flag[i] |= kind[i] * LEX
-        for i, s in enumerate(starts):
+        for i, s in enumerate(starts if "©" in low or "(c)" in low or "copyright " in low else ()):
             if low[s : s + out.size[i] + 8].lstrip().startswith(("©", "(c)", "copyright ")):
                 out.flag[i] |= 0 if out.flag[i] >= LEX else CODE["footer"] * LEX
     return out

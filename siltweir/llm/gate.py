@@ -13,22 +13,66 @@ from bisect import bisect_right
 import ahocorasick
 
 _NONE: frozenset[str] = frozenset()
+_BLANK = frozenset({""})
 
 
 def _least(literals: frozenset[str]) -> int:
     return min((len(x) for x in literals), default=0)
 
 
+#: Letters that match others without case, but don't become these in lower case.
+_ODD = {ord(a): b for a, b in zip("İıſᲀᲁᲂᲃᲄᲅᲆ", "iisвдосттъ")}
+
+
+def folded(text: str) -> str:
+    """The text in lower case, as literals are looked for in it."""
+    return text.lower() if text.isascii() or not any(chr(c) in text for c in _ODD) else text.translate(_ODD).lower()
+
+
+#: At most so many strings are spelled out of what may follow each other.
+MANY = 200
+
+
+def _spelled(op, arg) -> frozenset[str] | None:
+    """All that an element of a pattern can match, lower-cased; None if these aren't a few strings."""
+    if op is sre.LITERAL:
+        return frozenset({chr(arg).lower()})
+    if op is sre.AT:
+        return _BLANK
+    if op is sre.IN:
+        return frozenset(chr(x).lower() for _, x in arg) if all(o is sre.LITERAL for o, _ in arg) else None
+    if op is sre.SUBPATTERN and not arg[1] and not arg[2]:
+        return _joined(arg[3])
+    if op is sre.BRANCH:
+        parts = [_joined(x) for x in arg[1]]
+        return frozenset().union(*parts) if all(x is not None for x in parts) else None
+    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[:2] == (0, 1):
+        inner = _joined(arg[2])
+        return None if inner is None else inner | _BLANK
+    return None
+
+
+def _joined(seq) -> frozenset[str] | None:
+    out = _BLANK
+    for op, arg in seq:
+        got = _spelled(op, arg)
+        if got is None or len(got) * len(out) > MANY:
+            return None
+        out = frozenset(x + y for x in out for y in got)
+    return out
+
+
 def _of(seq) -> frozenset[str]:
     """Literals of which one must occur in a match of the sequence; empty if none is known."""
-    best, run = _NONE, ""
+    best, run = _NONE, _BLANK
     for op, arg in [*seq, (None, None)]:
-        if op is sre.LITERAL:
-            run += chr(arg).lower()
+        got = _spelled(op, arg)
+        if got is not None and len(got) * len(run) <= MANY:
+            run = frozenset(x + y for x in run for y in got)
             continue
-        if run and len(run) > _least(best):
-            best = frozenset({run})
-        run = ""
+        if _least(run) > _least(best):
+            best = run
+        run = _BLANK if got is None else got
         got = _NONE
         if op is sre.SUBPATTERN:
             got = _of(arg[3])
@@ -43,6 +87,18 @@ def _of(seq) -> frozenset[str]:
     return best
 
 
+def _edged(pattern: str) -> bool:
+    """Whether each match begins, at the edge of a word, with one of the literals that are required."""
+    seq = list(sre.parse(pattern))
+    run = _BLANK
+    for op, arg in seq:
+        got = _spelled(op, arg)
+        if got is None or len(got) * len(run) > MANY:
+            break
+        run = frozenset(x + y for x in run for y in got)
+    return seq[0] == (sre.AT, sre.AT_BOUNDARY) and run == _of(seq) and all(x[:1].isalnum() for x in run)
+
+
 def required(pattern: str) -> frozenset[str]:
     return _of(sre.parse(pattern))
 
@@ -104,6 +160,7 @@ class Rules:
         self.rules: list[tuple[re.Pattern, str]] = []
         self.free: list[int] = []
         words: dict[str, set[int]] = {}
+        edged: set[int] = set()
         for name, p in patterns.items():
             for part in alternatives(p):
                 n = len(self.rules)
@@ -111,29 +168,48 @@ class Rules:
                 need = required(part)
                 if _least(need) < least:
                     self.free.append(n)
+                elif _edged(part):
+                    edged.add(n)
                 for w in need if _least(need) >= least else ():
                     words.setdefault(w, set()).add(n)
         self.auto = ahocorasick.Automaton()
         for w, ns in words.items():
-            self.auto.add_word(w, tuple(ns))
+            self.auto.add_word(w, (len(w), tuple(ns), tuple(ns - edged)))
         self.auto.make_automaton()
 
     def hits(self, text: str, starts: list[int]) -> dict[int, set[int]]:
         """line -> rules whose literals stand in it; starts are the places where the lines of the text begin."""
-        low = text.lower()
+        low = folded(text)
         out: dict[int, set[int]] = {}
         if len(low) == len(text):
-            for end, ns in self.auto.iter(low):
+            for end, (_, ns, _) in self.auto.iter(low):
                 out.setdefault(bisect_right(starts, end) - 1, set()).update(ns)
         else:  # lower-casing moved the places: every rule with a literal somewhere may match in every line
-            ns = {n for _, ns in self.auto.iter(low) for n in ns}
+            ns = {n for _, (_, ns, _) in self.auto.iter(low) for n in ns}
             out = {i: set(ns) for i in range(len(starts))}
         return out
 
+    def places(self, text: str, low: str, starts: list[int]) -> dict[int, list[tuple[int, tuple[int, ...]]]]:
+        """line -> (place in it where a literal ends, its rules), in order; low is the folded text."""
+        out: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        if len(low) == len(text):
+            for end, (n, ns, inner) in self.auto.iter(low):
+                if end >= n and (low[end - n].isalnum() or low[end - n] == "_"):  # it stands inside a word
+                    ns = inner
+                    if not ns:
+                        continue
+                i = bisect_right(starts, end) - 1
+                out.setdefault(i, []).append((end - starts[i], ns))
+        else:  # lower-casing moved the places: every rule with a literal somewhere may match at every place
+            ns = tuple({n for _, (_, ns, _) in self.auto.iter(low) for n in ns})
+            ends = [*(x - 1 for x in starts[1:]), len(text)]
+            out = {i: [(at, ns) for at in range(b - a)] for i, (a, b) in enumerate(zip(starts, ends)) if ns}
+        return out
+
     def names(self, text: str, tried: set[int] | None = None) -> set[str]:
         """Names of the patterns that match somewhere in the text, of all or of the rules to be tried."""
         if tried is None:
-            tried = {n for _, ns in self.auto.iter(text.lower()) for n in ns} | set(self.free)
+            tried = {n for _, (_, ns, _) in self.auto.iter(folded(text)) for n in ns} | set(self.free)
         out: set[str] = set()
         for n in tried:
             rule, name = self.rules[n]
@@ -142,4 +218,4 @@ class Rules:
         return out
 
 
-__all__ = ["Rules", "alternatives", "beginnings", "required"]
+__all__ = ["Rules", "alternatives", "beginnings", "folded", "required"]

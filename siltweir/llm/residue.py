@@ -19,7 +19,9 @@ result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltweir.llm.body import CUES, U, Page, body_of, codes, compact, default_cues, learned, menu_units, pages_of, read_page
-from siltweir.llm.gate import Rules, alternatives, beginnings
+from siltweir.llm.gate import Rules, alternatives, beginnings, folded
 from siltweir.llm.phrases import ERROR, PARKED, SCRIPT, unquoted
 from siltweir.session import staged, table, unstage
 
@@ -99,8 +101,9 @@ def placeholder(line: str) -> bool:
 
 
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
-#: A sentence that begins with a digit, as codes of errors do, which have no literal.
-_CODE = re.compile(r"(?:^|[.!?。]\s+)\d")
+#: The stop and the blanks behind a sentence. It begins with a set of characters, as the other patterns that are looked for
+#: in whole texts do: these are found fast.
+_STOP = re.compile(r"[.!?。]\s+")
 _FILL, _NOTE = ("any",), ("script", "parked", "error")
 #: Filler at the start of a sentence, by what a sentence must begin with.
 _STARTS = {x: [] for part in alternatives(_FILLER.pattern) for x in beginnings(part)}
@@ -111,6 +114,9 @@ for _part in alternatives(_FILLER.pattern):
 _BEGIN = tuple(_STARTS)
 _BY_LETTER = {c: [(b, rules) for b, rules in _STARTS.items() if b[0] == c] for c in {b[0] for b in _STARTS}}
 _ANY_BEGIN = re.compile(r"(?:^|(?<=[.!?。])\s)\s*(?=" + "|".join(map(re.escape, sorted(_STARTS))) + ")", re.I | re.M)
+#: The same in a folded text that a newline was put before; also sentences that begin with a digit, as codes of errors do,
+#: which have no literal.
+_LOW_BEGIN = re.compile(r"[\n.!?。](?:(?<=\n)|\s)\s*(?=\d|" + "|".join(re.escape(c) + "(?:" + "|".join(re.escape(b[1:]) for b, _ in rules) + ")" for c, rules in _BY_LETTER.items()) + ")")
 _RULES = Rules({"script": SCRIPT.pattern, "parked": PARKED.pattern, "error": ERROR.pattern, "any": _FILLER_ANY.pattern, "latin": "|".join(sorted(w for w in _LATIN if len(w) >= 5))})
 _IDS = {k: frozenset(n for n, (_, name) in enumerate(_RULES.rules) if name in names) for k, names in (("fill", _FILL), ("note", _NOTE), ("latin", ("latin",)))}
 
@@ -130,6 +136,32 @@ def filler(line: str, tried: set[int] | None = None) -> bool:
     return False
 
 
+def _filled(line: str, spots: list[tuple[int, tuple[int, ...]]]) -> bool:
+    """Whether the line is filler by the rules whose literals stand at these places, each tried in its sentence."""
+    tried = {n for _, ns in spots for n in ns}
+    if tried & _IDS["latin"] and _latin(line.strip()):
+        return True
+    fill = tried & _IDS["fill"]
+    if not fill:
+        return False
+    if _RULES.names(line.strip(), fill):
+        return True
+    return any(own and _RULES.names(line[a:b].strip(), own) for a, b, own in _sentences(line, spots, _IDS["fill"]))
+
+
+def _sentences(line: str, spots: list[tuple[int, tuple[int, ...]]], ids: frozenset[int]) -> Iterator[tuple[int, int, set[int]]]:
+    """(start, end, those of the rules whose literals end in it) of each sentence; the places are in order."""
+    a, at, n = 0, 0, len(spots)
+    for m in chain(_STOP.finditer(line), (None,)):
+        b = m.start() + 1 if m else len(line)
+        own: set[int] = set()
+        while at < n and spots[at][0] < (m.end() if m else b):
+            own.update(spots[at][1])
+            at += 1
+        yield a, b, own & ids
+        a = m.end() if m else b
+
+
 def _begun(text: str, at: int) -> bool:
     """Whether the sentence, or the line, that begins at this place is filler."""
     end = text.find("\n", at)
@@ -146,6 +178,7 @@ def _starts(x: str, low: str) -> bool:
 
 
 _NOTHING: frozenset[int] = frozenset()
+_QUOTE = re.compile("[“«„\"‘]")
 _SHORT: dict[tuple[str, str], object] = {}
 
 
@@ -164,16 +197,36 @@ def _kept(kind: str, f, line: str):
 
 _URL, _HOST = re.compile(r"(?:https?://|www\.)\S+|/[\w./-]{4,}"), re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,})\b")
 _DATE = re.compile(r"\d(?:\d{3}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?z?)?|\d?[./]\d{1,2}[./]\d{2,4})")
-_DIGIT, _NUMBER = re.compile(r"\d"), re.compile(r"\b(?=\w*\d)(?=\w*[a-z])\w{4,}\b|\d+(?:[.,]\d+)*")
+_NUMBER, _QUOTES = re.compile(r"\b(?=\w*\d)(?=\w*[a-z])\w{4,}\b|\d+(?:[.,]\d+)*"), re.compile(r"'[^']*'")
+#: What stands in all addresses, hosts, numbers and dates, to the end of the word; a date may go on in words that begin with digits.
+_SPOT, _ASCII_SPOT = (re.compile(rf"[./{d}](?:(?<=[{d}])|(?=\S))[^ ]*(?: [{d}][^ ]*)*") for d in (r"\d", "0-9"))
+
+
+def _words(t: str, spot: re.Pattern, f: Callable[[str], str]) -> str:
+    """The text with f applied to the words, parted by blanks, that hold such a spot; it reaches to the end of the word."""
+    out, done = [], 0
+    for m in spot.finditer(t):
+        a = max(t.rfind(" ", done, m.start()) + 1, done)
+        out += (t[done:a], f(t[a : m.end()]))
+        done = m.end()
+    return "".join((*out, t[done:])) if done else t
+
+
+def _addresses(w: str) -> str:
+    return _HOST.sub("<h>", _URL.sub("<u>", w)) if "." in w or "/" in w else w
 
 
 def mask(text: str) -> str:
     """Numbers, dates, addresses, hosts and mixed tokens give way to marks; case and blanks are folded."""
     # marks that hold no blank are set word by word, in words that may hold what they stand for
-    t = " ".join([_HOST.sub("<h>", _URL.sub("<u>", w)) if "." in w or "/" in w else w for w in text.casefold().split(" ")])
-    t = re.sub(r"'[^']*'", "<q>", _DATE.sub("<d>", t))
-    t = " ".join([w if w.isalpha() or not _DIGIT.search(w) else _NUMBER.sub("<n>", w) for w in t.split(" ")])
-    return " ".join(t.split())
+    t = text.casefold()
+    if t.count("'") > 1:
+        t = _DATE.sub("<d>", _words(t, _SPOT, _addresses))
+        t = _words(_QUOTES.sub("<q>", t), _SPOT, lambda w: _NUMBER.sub("<n>", w))
+    else:
+        t = _words(t, _ASCII_SPOT if t.isascii() else _SPOT, lambda w: _NUMBER.sub("<n>", _DATE.sub("<d>", _addresses(w))))
+    # blanks other than the space aren't printable
+    return t if t.isprintable() and "  " not in t and t == t.strip() else " ".join(t.split())
 
 
 def notice(line: str, tried: set[int] | None = None) -> str | None:
@@ -192,15 +245,18 @@ def notice(line: str, tried: set[int] | None = None) -> str | None:
     return next((k for k in _NOTE if k in got), None)
 
 
-def _opening(line: str, tried: set[int]) -> tuple[str | None, int]:
-    """(class of the first notice-worded sentence or None, characters of such sentences, negative if not the first)."""
-    if not tried and not _CODE.search(line):
+def _opening(line: str, spots: list[tuple[int, tuple[int, ...]]], code: bool) -> tuple[str | None, int]:
+    """(class of the first notice-worded sentence or None, characters of such sentences, negative if not the first). `code`:
+    a sentence of the line may begin with a digit."""
+    tried = {n for _, ns in spots for n in ns} & _IDS["note"]
+    if not tried and not code:
         return None, 0
+    quoted = _QUOTE.search(line) is not None  # without what is quoted, other literals may stand in a sentence
     first, size = None, 0
-    for i, x in enumerate(_SENTENCE.split(line)):
-        k = notice(x, tried)
+    for i, (a, b, own) in enumerate(_sentences(line, spots, _IDS["note"])):
+        k = notice(line[a:b], tried if quoted else own) if own or quoted or line[a : a + 1].isdigit() else None
         if k:
-            size += len(x)
+            size += b - a
             first = first or (k, i)
     if first is None:
         whole = notice(line, tried)
@@ -216,32 +272,37 @@ def message_of(title: str | None, text: str | None, known: dict[int, int] | None
         page = read_page(text, title, default_cues())
     text = text or ""
     parts = text.split("\n")
-    starts, at = [], 0
-    for x in parts:
-        starts.append(at)
-        at += len(x) + 1
-    hits = _RULES.hits(text, starts)
+    starts = [0, *accumulate(len(x) + 1 for x in parts[:-1])]
+    low = folded(text)
+    spots = _RULES.places(text, low, starts)
+    # where a sentence begins as filler does or with a digit
+    if len(low) == len(text):
+        begins = [m.end() - 1 for m in _LOW_BEGIN.finditer("\n" + low)]
+        coded = {bisect_right(starts, i) - 1 for i in begins if low[i].isdigit()}
+    else:
+        begins, coded = [m.end() for m in _ANY_BEGIN.finditer(text)], range(len(parts))
     residue = None
     for x in [title or "", *(parts if _MARKS.search(text) else ())]:
         if placeholder(x):
             residue = "placeholder"
             break
     if residue is None:
-        lines = [i for i, may in hits.items() if may & _IDS["fill"] or may & _IDS["latin"]]
         # a sentence that begins as filler does is looked at alone and, at the start of a line, with all of the line
-        if any(filler(parts[i], hits[i]) for i in lines) or any(_begun(text, m.end()) for m in _ANY_BEGIN.finditer(text)) or title and _kept("f", filler, title):
+        if any(_filled(parts[i], x) for i, x in spots.items()) or any(_begun(text, i) for i in begins) or title and _kept("f", filler, title):
             residue = "filler"
     named = _kept("n", notice, title) if title else None
     code = codes(page, [known.get(u, U) for u in page.unit], [known.get(u, U) for u in page.item])
     body = [page.no[i] for i in body_of(page, code)] if page.no else []
     if not body:
         return residue, named, named, None, ""
-    inside = set(body)
-    lines = [(parts[n - 1].strip(), f, hits.get(n - 1, _NOTHING) & _IDS["note"]) for n, f in zip(page.no, page.flag) if n in inside]
+    lines = [(parts[n - 1].strip(), n - 1) for n in body]
     kind, worded, rest, opens = None, 0, 0, None
     head = (title or "").strip()
-    for x, _, may in lines:
-        k, n = _opening(x, may)
+    for x, i in lines:
+        may = spots.get(i, ())
+        if may and (lead := len(parts[i]) - len(parts[i].lstrip())):
+            may = [(end - lead, ns) for end, ns in may]
+        k, n = _opening(x, may, i in coded)
         if opens is None and x != head:
             opens = k is not None and n > 0
         kind = kind or k
@@ -250,7 +311,7 @@ def message_of(title: str | None, text: str | None, known: dict[int, int] | None
         if k is None and len(x) <= LABEL and x != head:
             rest += len(x) // 2
     share = worded / (worded + rest) if worded else 0.0
-    message = mask(" / ".join(x for x, _, _ in lines))
+    message = mask(" / ".join(x for x, _ in lines))
     found = kind if share > MOST or opens and share >= OPENING else None
     return residue, found, named, xxhash.xxh3_64_intdigest(message.encode("utf-8", "surrogatepass")) - (1 << 63), message
 

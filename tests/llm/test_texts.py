@@ -206,6 +206,21 @@ def test_rules_lose_nothing():
             assert bool(rules.names(x)) is (p.search(x) is not None), (name, x)
 
 
+def test_rules_are_tried_in_their_sentences(monkeypatch):
+    """Rules are tried in the sentences where their literals stand, not in all of the line; letters that match others
+    without case count as these."""
+    calls = []
+    notice = R.notice
+    monkeypatch.setattr(R, "notice", lambda *a: calls.append(a) or notice(*a))
+    text = "The desk met before nine. " * 200 + "This page was not found. " + "The desk met before ten. " * 200
+    assert R.message_of(None, text, LABELS)[:2] == (None, None) and len(calls) < 10
+    assert R.message_of(None, "Page not found. " + "The desk met before ten. " * 3, LABELS)[1] == "error"
+    for name, p in (("error", R.ERROR), ("parked", R.PARKED), ("script", R.SCRIPT)):
+        rules = R.Rules({name: p.pattern})
+        for x in ["Page waſ not found", "THE NAME İS FOR SALE", "Checkıng your browſer", "Thiſ ſite haſ been suſpended", "Ошиᲂка", "стᲃница", "java script is required", "enable scripts"]:
+            assert bool(rules.names(x)) is (p.search(x) is not None), (name, x)
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, *r, 5, "c") for i, r in enumerate(rows)], "doc_id long, source string, text string, lang string, size int, container string")
 
